@@ -16,13 +16,18 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, stage, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 EXPAND, MAX_EPOCHS, SEED = 1.5, 2.0, 11
+WORDS = re.compile(WORD)
 SLICE_ROWS = 20_000  # documents of a source that one task orders
 
 
@@ -79,9 +84,37 @@ def mix(docs: DataFrame, weights=WEIGHTS, expand: float = EXPAND, max_epochs: fl
     )
 
 
-def first_words(text: Column, n: Column) -> Column:
-    """The first n words of a text with the white space between them."""
-    return F.regexp_extract(text, F.concat(F.lit("^(?s)((?:[\\x20\\x09-\\x0D]*" + WORD + "){"), n.cast("string"), F.lit("})")), 1)
+def first_words(text: str, n: int) -> str:
+    """The first n words of a text, with the white space between and before them."""
+    end = 0
+    for i, m in enumerate(WORDS.finditer(text)):
+        if i == n:
+            break
+        end = m.end()
+    return text[:end]
+
+
+def drawn(docs: DataFrame, **how) -> DataFrame:
+    """The mixed documents themselves, with the columns of docs: each one as often as it is repeated whole, and its
+    first words where a part of it is taken. A column n_chars is set to the new length of a shortened text."""
+    plan = mix(docs, **how).filter("taken > 0").select("doc_id", "repeats", "part").dropDuplicates(["doc_id"])
+    names = docs.columns
+    at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            part = b.column(len(names)).to_pylist()
+            cols = list(b.columns)[: len(names)]
+            if any(part):
+                texts = [first_words(t, n) if n else t for t, n in zip(cols[at].to_pylist(), part, strict=True)]
+                if chars is not None:
+                    cols[chars] = pa.array([len(t) if n else c for t, n, c in zip(texts, part, cols[chars].to_pylist(), strict=True)], cols[chars].type)
+                cols[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    whole = F.transform(F.sequence(F.lit(1), F.col("repeats")), lambda _: F.lit(0).cast("long"))
+    copies = F.concat(F.when(F.col("repeats") > 0, whole).otherwise(F.array().cast("array<bigint>")), F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<bigint>")))
+    return docs.join(plan, "doc_id").select(*names, F.explode(copies).alias("__part")).mapInArrow(batches, docs.schema)
 
 
 def op8_water_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
