@@ -1,4 +1,7 @@
-"""Registered queries and their SQL."""
+"""All registered queries of the library and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import operations, racing, read_side  # noqa: F401  they register themselves
+from .base import ORACLES, QUERIES
+from .racing import supplier_rai
+
+__all__ = ["ORACLES", "QUERIES", "supplier_rai"]
