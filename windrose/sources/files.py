@@ -122,7 +122,16 @@ class _Tables(HTMLParser):
         self.cell: list[str] | None = None
         self.caption = False
 
+    def close_cell(self) -> None:
+        if self.cell is not None and self.stack:
+            if not self.stack[-1]["rows"]:
+                self.stack[-1]["rows"].append([])
+            self.stack[-1]["rows"][-1].append(" ".join("".join(self.cell).split()))
+        self.cell = None
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in ("tr", "td", "th"):
+            self.close_cell()  # pages often leave out the end marks
         if tag == "table":
             self.stack.append({"class": dict(attrs).get("class") or "", "caption": "", "rows": []})
             self.tables.append(self.stack[-1])
@@ -134,13 +143,10 @@ class _Tables(HTMLParser):
             self.caption = True
 
     def handle_endtag(self, tag: str) -> None:
+        if tag in ("td", "th", "tr", "table"):
+            self.close_cell()
         if tag == "table" and self.stack:
             self.stack.pop()
-        elif tag in ("td", "th") and self.cell is not None and self.stack:
-            if not self.stack[-1]["rows"]:
-                self.stack[-1]["rows"].append([])
-            self.stack[-1]["rows"][-1].append(" ".join("".join(self.cell).split()))
-            self.cell = None
         elif tag == "caption":
             self.caption = False
 
