@@ -92,10 +92,10 @@ CLASSES = 64
 
 
 def char_classes() -> np.ndarray:
-    """A class for each code point up to 255; digits and letters share classes by what they tell about a span."""
+    """A class for each code point up to 255: one for all digits, one a letter whatever its case."""
     t = np.full(257, 1)
-    for i, c in enumerate("0123456789"):
-        t[ord(c)] = 2 + int(c)
+    for c in "0123456789":
+        t[ord(c)] = 2
     for c in range(256):
         if chr(c).isalpha():
             t[c] = 12 + (ord(chr(c).lower()) - 97 if chr(c).lower() in "abcdefghijklmnopqrstuvwxyz" else 26)
