@@ -78,7 +78,7 @@ def sorted_list(value: str | Column, *order: str | Column) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct(*[C(o).alias(f"o{i}") for i, o in enumerate(order)], C(value).alias("v")))), lambda s: s["v"])
 
 
-def winsorised_mean(value: str, share: float = 0.1, least: int = 4, digits: int = 2) -> Column:
+def winsorised_mean(value: str | Column, share: float = 0.1, least: int = 4, digits: int = 2) -> Column:
     """Aggregate: values beyond the index int(n * share) from either end take that place's value; few values: mean."""
     a = F.array_sort(F.collect_list(value))
     n = F.size(a)
