@@ -1,6 +1,6 @@
 """Toxic passages by maximum-scoring segment search.
 
-Tokens get log-odds of standing in a toxic rather than a clean document. The odds have Dirichlet priors one inside the
+Tokens get log-odds of standing in a toxic rather than a clean document, from the documents that hold them. The odds have Dirichlet priors one inside the
 other: a word's prior is its six-letter beginning, whose prior is its five-letter one, down to three letters and the
 share of all tokens, so inflected and unseen words take their stem's odds. A linear scan over the tokens finds every
 maximal scoring segment. Segment scores are calibrated as extreme values: lambda from the scores of tokens in clean
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -88,7 +89,10 @@ class Scorer:
         known = self.known
         for t in set(tokens).difference(known):
             known[t] = token_score(clean(t), self.model)
-        return np.fromiter(map(known.__getitem__, tokens), np.float64, len(tokens))
+        scores = np.fromiter(map(known.__getitem__, tokens), np.float64, len(tokens))
+        again = np.fromiter(map(eq, tokens, tokens[1:]), bool, max(len(tokens) - 1, 0))
+        scores[1:][again] = np.minimum(scores[1:][again], -SHIFT)  # a word right after itself is no new evidence
+        return scores
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> dict | None:
@@ -97,7 +101,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> dict | None:
     marked = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = sample_ids(marked, "doc_id", SAMPLE).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(2)))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # SAMPLE rows at most
-    word = F.explode(F.split(F.regexp_replace(F.lower("text"), "[^\\p{L}\\s]", ""), "\\s+"))
+    # each word once a document: junk that repeats a word says nothing more
+    word = F.explode(F.array_distinct(F.split(F.regexp_replace(F.lower("text"), "[^\\p{L}\\s]", ""), "\\s+")))
     words = rows.filter("half = 0").select("toxic", word.alias("w")).filter("w <> ''")
     per_word = words.groupBy("w").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     stems = F.array(*[F.when(F.length("w") > n, F.concat(F.lit(f"{n}:"), F.substring("w", 1, n))) for n in STEMS], F.concat(F.lit("w:"), "w"))
