@@ -33,7 +33,7 @@ from .common import discard, stage, table
 from .neardup import BASE, BYTE, INVERSE, mix, powers
 
 LENGTH, GRAM = 200, 32
-BUCKET, LARGE = 20_000, 20_000
+BUCKET, LARGE = 20_000, 200_000  # different surroundings: of a task, and of an anchor; 200,000 are 75 MB
 OUT = 256  # the symbol beyond a document's edge, equal to no byte
 
 _powers: dict[str, np.ndarray] = {"up": powers(BASE, 1 << 12), "down": powers(INVERSE, 1 << 12)}
@@ -225,17 +225,22 @@ def counted(snippets: DataFrame, length: int, gram: int) -> DataFrame:
     each = snippets.select("a", "s", "lead", "bytes").mapInArrow(strings, "a long, s long, d int, h1 long, h2 long")
     key = ["a", "d", "h1", "h2"]
     often = each.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    return each.join(often, key).select("a", "s", F.col("d").alias("lo"), (F.col("d") + length).alias("hi"))
+    starts = each.join(often, key).groupBy("a", "s").agg(F.array_sort(F.collect_set("d")).alias("d"))  # at most length - gram + 1
+    # a run ends where the next start isn't one further on
+    last = F.filter("d", lambda x: ~F.array_contains("d", x + 1))
+    first = F.filter("d", lambda x: ~F.array_contains("d", x - 1))
+    runs = starts.select("a", "s", F.explode(F.arrays_zip(first.alias("lo"), last.alias("hi"))).alias("r"))
+    return runs.select("a", "s", F.col("r.lo").alias("lo"), (F.col("r.hi") + length).alias("hi"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """docs: uid, text. uid and spans: for each document with any, the (start, end) bytes that repeated strings cover."""
     every = stage(occurrences(docs, length, gram))
-    often = every.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a")
+    often = stage(every.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a"))  # written, so that the join deals both sides and can split a hot anchor
     occ = stage(every.join(often, "a", "left_semi"))
-    discard(every)
+    discard(every, often)
     per = stage(occ.groupBy("a", "s").agg(F.count("*").alias("c"), F.min(F.struct("uid", "pos")).alias("at")))
-    kinds = per.groupBy("a").agg(F.count("*").alias("k")).filter("k > 1")
+    kinds = stage(per.groupBy("a").agg(F.count("*").alias("k")).filter("k > 1"))
     mixed = per.join(kinds, "a").select("a", "s", "k", "at.uid", "at.pos")
     snippets = stage(cut_out(docs, mixed.select("uid", "pos", "a", "s"), length, gram).join(kinds, "a"))
     usual, large = snippets.filter(F.col("k") <= LARGE), snippets.filter(F.col("k") > LARGE)
@@ -248,7 +253,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     covers = stage(whole.union(partly))
     spans = occ.join(covers, ["a", "s"]).groupBy("uid").agg(F.collect_set(F.struct((F.col("pos") + F.col("lo")).alias("start"), (F.col("pos") + F.col("hi")).alias("end"))).alias("spans"))
     spans = stage(spans)
-    discard(occ, per, snippets, covers)
+    discard(occ, per, kinds, snippets, covers)
     return spans
 
 
