@@ -9,8 +9,8 @@ the estimate leaves a link possible, the pair is confirmed on the full sets.
 Groups stay linear. Equal sets are one node. A bucket sends only pairs of each member with a leader, drawn afresh for
 every band; a member's best pair is confirmed first, others only if they would join different components. Then the
 buckets that still hold several components are searched whole, so that no link depends on which leader was drawn:
-their documents are split by further bands until a bucket is small or of one component, and only pairs between
-components are compared.
+members that share too little with all others together to link with any are set aside, the most typical member leads a
+second star, large buckets are split by further bands, and the pairs between components that are left are compared.
 
 With 24 bands of 6 registers a pair at the threshold is missed with a probability of about 1e-5, and the estimate's
 margin is five standard deviations.
@@ -35,7 +35,7 @@ SHINGLE, BANDS, ROWS = 5, 24, 6
 M = BANDS * ROWS
 B, A, LIMIT = 1.001, 20.0, 65_534
 MARGIN = 5.0
-SMALL = 64  # rows of a bucket whose pairs are compared directly
+SMALL = 1000  # rows of a bucket whose pairs are compared directly
 DEPTH = 3  # splits of a larger bucket
 
 _rng = np.random.default_rng(99)
@@ -185,17 +185,21 @@ def estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(batches, "a long, b long, j double")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those whose full sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def fetched(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, items: the full sets of these documents. The texts are dealt by doc_id whatever the number of ids, so that
+    the plan is the same at every size."""
     arrow = pa.schema([("id", pa.int64()), ("items", pa.binary())])
 
     def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t).tobytes() for t in frame(b.column(1))], pa.binary())], schema=arrow)
 
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    items = stage(wanted.mapInArrow(sets, "id long, items binary"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    return stage(texts.join(ids.hint("merge"), "id", "left_semi").mapInArrow(sets, "id long, items binary").dropDuplicates(["id"]))
+
+
+def confirmed(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b), those whose full sets are similar enough."""
     both = pairs.select("a", "b").join(items.select(F.col("id").alias("b"), F.col("items").alias("s_b")), "b")
     both = both.join(items.select(F.col("id").alias("a"), F.col("items").alias("s_a")), "a").select("a", "b", "s_a", "s_b")
     edges = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -211,8 +215,28 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * common >= percent * (len(s) + len(t) - common))
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], schema=edges).filter(pa.array(good, pa.bool_()))
 
-    out = stage(both.mapInArrow(compare, "a long, b long"))
-    discard(items)
+    return stage(both.mapInArrow(compare, "a long, b long"))
+
+
+def viable(items: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
+    """id, shared: nodes that could still link with another of these, and how many of their n items any other node has:
+    at least percent of n, since a similarity can't exceed that share. Edited copies of one text hold many items of
+    their own, so most that can't link are known without a comparison."""
+
+    def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for i, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                x = np.frombuffer(raw.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), i)), pa.array(x), pa.array(np.full(len(x), len(x)))], names=["id", "x", "n"])
+
+    out = None
+    for _ in range(rounds):
+        left = items if out is None else items.join(out.select("id"), "id", "left_semi")
+        rows = left.mapInArrow(each, "id long, x long, n long")
+        shared = stage(rows.groupBy("x").agg(F.count("*").alias("c")).filter("c > 1").select("x"))  # written, so that the join can split a hot item
+        per = rows.join(shared, "x", "left_semi").groupBy("id").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+        out = stage(per.filter(F.col("c") * 100 >= F.col("n") * percent).select("id", F.col("c").alias("shared")))
+        discard(shared)
     return out
 
 
@@ -246,29 +270,42 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return x.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).drop("c_a", "c_b")
 
 
-def mixed_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+def within_reach(n1, s1, n2, s2, percent: int):
+    """Whether two sets can be similar enough by their sizes and by how many of their items any other set has: what
+    they share is at most the lesser of these, and their union at least the rest."""
+    both = F.least(s1, s2)
+    return both * 100 >= (n1 + n2 - both) * percent
+
+
+def mixed_buckets(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components out of all buckets, large ones split by further bands.
 
-    members: id, n, bands. A pair at the threshold shares any further band with the same chance as the first, so each
+    members: id, n, shared, bands. A pair at the threshold shares any further band with the same chance as the first, so each
     split keeps it but for about 1 in 100,000; a bucket that is still large after DEPTH splits is compared as it is."""
-    m = with_components(members, labels)
-    open_ = m.select("id", "n", "comp", "bands", F.explode("bands").alias("k"))
+    dealt = with_components(members, labels).select("id", "n", "shared", "comp", F.explode("bands").alias("k"))
     found = None
     for depth in range(DEPTH + 1):
-        size = open_.groupBy("k").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("k", "size")
-        open_ = stage(open_.join(size, "k"))
-        direct = open_ if depth == DEPTH else open_.filter(F.col("size") <= SMALL)
-        left = direct.select("k", F.col("id").alias("a"), F.col("n").alias("n1"), F.col("comp").alias("c1"))
-        right = direct.select("k", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("comp").alias("c2"))
-        pairs = left.join(right, "k").filter((F.col("a") < F.col("b")) & (F.col("c1") != F.col("c2")) & close_sizes(F.col("n1"), F.col("n2"), 85)).select("a", "b")
+        size = dealt.groupBy("k").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("k", "size")
+        mixed = stage(dealt.join(size, "k"))
+        direct = mixed if depth == DEPTH else mixed.filter(F.col("size") <= SMALL)
+        left = direct.select("k", F.col("id").alias("a"), F.col("n").alias("n1"), F.col("shared").alias("s1"), F.col("comp").alias("c1"))
+        right = direct.select("k", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("shared").alias("s2"), F.col("comp").alias("c2"))
+        reach = within_reach(F.col("n1"), F.col("s1"), F.col("n2"), F.col("s2"), percent)
+        pairs = left.join(right, "k").filter((F.col("a") < F.col("b")) & (F.col("c1") != F.col("c2")) & reach).select("a", "b")
         found = pairs if found is None else found.union(pairs)
-        rest = open_.filter(F.col("size") > SMALL)
+        rest = mixed.filter(F.col("size") > SMALL)
         if depth == DEPTH or rest.limit(1).count() == 0:
-            return found.distinct()
-        open_ = rest.drop("size").withColumn("band", F.explode("bands")).withColumn("k", F.xxhash64("k", "band")).drop("band")
+            break
+        dealt = rest.drop("size").join(members.select("id", F.explode("bands").alias("band")), "id").withColumn("k", F.xxhash64("k", "band")).drop("band")
     return found.distinct()
 
 
+def mixed_keys(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members by bucket with their components, and the keys of buckets that hold several."""
+    dealt = with_components(members, labels).select("id", "n", "comp", F.explode("bands").alias("k"))
+    return dealt, dealt.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("k")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     base = stage(sketched(docs))
@@ -276,18 +313,40 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     nodes = stage(reps)
     members = stage(buckets(nodes))
     deal = members.select("id", "n", F.explode("bands").alias("k"))
-    leader = deal.groupBy("k").agg(F.min(F.struct(F.xxhash64("k", "id"), "id", "n")).alias("l"), F.count("*").alias("c")).filter("c > 1").select("k", F.col("l.id").alias("a"), F.col("l.n").alias("n_a"))
-    stars = deal.join(leader, "k").filter((F.col("a") != F.col("id")) & close_sizes(F.col("n"), F.col("n_a"), percent)).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+    leader = stage(deal.groupBy("k").agg(F.min(F.struct(F.xxhash64("k", "id"), "id", "n")).alias("l"), F.count("*").alias("c")).filter("c > 1").select("k", F.col("l.id").alias("a"), F.col("l.n").alias("n_a")))
+    together = stage(deal.join(leader, "k").select("id", "n", "k", "a", "n_a"))
+    items = fetched(together.select("id").distinct(), docs)
+
+    # each member with its bucket's leader: the best pair first, others where they would join components
+    close = (F.col("a") != F.col("id")) & close_sizes(F.col("n"), F.col("n_a"), percent)
+    stars = together.filter(close).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
     likely = stage(estimated(stars, nodes, percent))
     w = Window.partitionBy("b").orderBy(F.desc("j"), "a")
     first = stage(likely.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r"))
-    edges = confirmed(first, docs, percent)
+    edges = confirmed(first, items, percent)
     labels = components(edges)
-    for more in (lambda: likely, lambda: stage(estimated(mixed_buckets(members, labels), nodes, percent))):
-        rest = stage(apart(more().select("a", "b"), labels).join(first.select("a", "b"), ["a", "b"], "left_anti"))
-        if rest.limit(1).count():
-            edges = edges.union(confirmed(rest, docs, percent))
-            labels = components(edges)
+    edges = edges.union(confirmed(stage(apart(likely.select("a", "b"), labels).join(first.select("a", "b"), ["a", "b"], "left_anti")), items, percent))
+    labels = components(edges)
+
+    # buckets that still hold several components: members that can link at all, with the most typical one as leader
+    dealt, keys = mixed_keys(members, labels)
+    still = dealt.join(keys, "k").select("id").distinct()
+    able = viable(items.join(still, "id", "left_semi"), percent)
+    some = stage(members.join(able, "id"))
+    dealt, keys = mixed_keys(some, labels)
+    dealt = dealt.join(keys, "k").join(able, "id")
+    typical = stage(dealt.groupBy("k").agg(F.max(F.struct((F.col("shared") / F.col("n")).alias("share"), (-F.col("id")).alias("minus"), "n", "shared", "comp")).alias("l")).select("k", (-F.col("l.minus")).alias("a"), F.col("l.n").alias("n_a"), F.col("l.shared").alias("s_a"), F.col("l.comp").alias("c_a")))
+    reach = within_reach(F.col("n"), F.col("shared"), F.col("n_a"), F.col("s_a"), percent)
+    stars = dealt.join(typical, "k").filter((F.col("comp") != F.col("c_a")) & reach).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+    edges = edges.union(confirmed(stage(estimated(stars, nodes, percent)), items, percent))
+    labels = components(edges)
+
+    # and all pairs between components that are left
+    pairs = stage(estimated(mixed_buckets(some, labels, percent), nodes, percent))
+    if pairs.limit(1).count():
+        edges = edges.union(confirmed(pairs, items, percent))
+        labels = components(edges)
+    discard(members, leader, together, items, likely, first, some, typical, pairs)
     of_key = nodes.select("key", "id").join(labels, "id", "left").select("key", F.coalesce("comp", "id").alias("comp"))
     joined = base.join(of_key, "key", "left")
     comp = F.when(F.col("n") > 0, F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id"))

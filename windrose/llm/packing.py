@@ -3,8 +3,8 @@
 A document's tokens are cut into full sequences and a rest. Rests are counted by length, in classes of GRAIN tokens, so
 the problem has at most CAPACITY / GRAIN lengths whatever the input. A pattern says how many rests of each class share
 a sequence. The linear program over patterns starts with one pattern a class; a knapsack by dynamic programming prices
-new ones until none lowers the total by more than GAP. Pattern counts are rounded down, what is left is placed first
-fit, and the rests, ranked within their class, take the places of the patterns in order.
+new ones until none lowers the total by more than GAP. Pattern counts are rounded down, what is left fills sequences
+one by one by bounded knapsacks, and the rests, ranked within their class, take the places of the patterns in order.
 
 Defined results: a null or empty text is the end token alone; repeated rows are packed each; an empty table gives no
 rows; other columns are ignored. Control words of the vocabulary inside a text are ordinary text.
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import frame, stage, table
 
-CAPACITY, END, GRAIN, GAP, MAX_ROUNDS = 2048, 1, 8, 5e-4, 3000
-SLICE_ROWS = 50_000
+CAPACITY, END, GRAIN, GAP, SMOOTH, MAX_ROUNDS = 2048, 1, 8, 5e-4, 0.7, 3000
+SLICE_ROWS = 2_000
 VOCABULARY = "byte_bpe_50k"
 
 
@@ -44,7 +44,9 @@ class Encoder:
     def __call__(self, text: str) -> np.ndarray:
         try:
             return np.asarray(self.fast.encode_ordinary(text), dtype="<u4")
-        except BaseException:  # the pattern's stack on very long runs of one kind
+        except (KeyboardInterrupt, SystemExit):
+            raise
+        except BaseException:  # the library's panic when the pattern gives up on very long runs of one kind
             if self.slow is None:
                 from tokenizers import Tokenizer
 
@@ -101,15 +103,30 @@ def plan(demand: dict[int, int], room: int) -> list[tuple[dict[int, int], int]]:
         return []
     m = len(sizes)
     basis = np.diag(room // sizes).astype(float)  # columns are patterns
-    inverse, x = np.diag(1.0 / np.diag(basis)), need / np.diag(basis)
-    for _ in range(MAX_ROUNDS):
-        dual = inverse.sum(0)
-        value, counts = knapsack(np.maximum(dual, 0), sizes, room)
-        if value <= 1 + GAP:
-            break
+    asked = need * (1 + 1e-5 * np.random.default_rng(0).random(m))  # no two ratios tie, so no pivot is wasted
+    inverse, x = np.diag(1.0 / np.diag(basis)), asked / np.diag(basis)
+    # prices are taken between the program's and the best seen so far, which keeps them from swinging; a price vector
+    # divided by its best pattern's value bounds the total from below
+    cost, centre, bound = np.ones(m), None, 0.0
+    for i in range(MAX_ROUNDS):
+        dual = cost @ inverse
+        if dual.min() < -1e-9:  # more places than demand cost nothing
+            counts, entering = -np.eye(m)[int(dual.argmin())], 0.0
+        else:
+            price = dual if centre is None else SMOOTH * centre + (1 - SMOOTH) * dual
+            value, counts = knapsack(np.maximum(price, 0), sizes, room)
+            if asked @ price > bound * value:
+                bound, centre = float(asked @ price) / value, price / value
+            if bound >= cost @ x * (1 - GAP):
+                break
+            if dual @ counts <= 1 + 1e-9:  # no gain at the program's own prices
+                value, counts = knapsack(np.maximum(dual, 0), sizes, room)
+                if value <= 1 + 1e-9:
+                    break
+            entering = 1.0
         w = inverse @ counts
-        ratio = np.where(w > 1e-9, x / np.where(w > 1e-9, w, 1), np.inf)
-        out = int(ratio.argmin())
+        ratio = np.where(w > 1e-7, x / np.where(w > 1e-7, w, 1), np.inf)
+        out = int(np.where(ratio <= ratio.min() + 1e-9, w, -1).argmax())
         step = ratio[out]
         x = x - step * w
         x[out] = step
@@ -117,20 +134,44 @@ def plan(demand: dict[int, int], room: int) -> list[tuple[dict[int, int], int]]:
         rest = w.copy()
         rest[out] = 0
         inverse -= np.outer(rest, inverse[out])
-        basis[:, out] = counts
+        basis[:, out], cost[out] = counts, entering
+        if i % 100 == 99:  # rounding errors of the updates
+            inverse = np.linalg.inv(basis)
+            x = inverse @ asked
         np.maximum(x, 0, out=x)
+    basis, x = basis[:, cost > 0], x[cost > 0]
     whole = np.floor(x + 1e-9).astype(np.int64)
-    out = [({int(s): int(a) for s, a in zip(sizes, basis[:, p], strict=True) if a}, int(whole[p])) for p in range(m) if whole[p]]
+    out = [({int(s): int(a) for s, a in zip(sizes, basis[:, p], strict=True) if a}, int(whole[p])) for p in range(len(x)) if whole[p]]
     left = (need - basis @ whole).astype(np.int64)  # below 0: places that stay free
-    bins: list[list] = []
-    for s, n in sorted(zip(sizes.tolist(), left.tolist(), strict=True), reverse=True):
-        for _ in range(max(n, 0)):
-            home = next((b for b in bins if b[0] >= s), None)
-            if home is None:
-                bins.append(home := [room, {}])
-            home[0] -= s
-            home[1][s] = home[1].get(s, 0) + 1
-    return out + [(b[1], 1) for b in bins]
+    rest = {s: n for s, n in zip(sizes.tolist(), left.tolist(), strict=True) if n > 0}
+    while rest:
+        out.append((fullest(rest, room), 1))
+        for s, n in out[-1][0].items():
+            rest[s] -= n
+            if not rest[s]:
+                del rest[s]
+    return out
+
+
+def fullest(rest: dict[int, int], room: int) -> dict[int, int]:
+    """The largest size left, and of the others what fills the room best, large ones first: a bounded knapsack."""
+    first = max(rest)
+    room -= first
+    counts = {s: n - (s == first) for s, n in rest.items()}
+    by: list[int] = [0] + [-1] * room  # the size that completed each sum
+    for s in sorted(counts, reverse=True):
+        used = [0] * (room + 1)
+        for c in range(s, room + 1):
+            if by[c] < 0 <= by[c - s] and used[c - s] < counts[s]:
+                by[c], used[c] = s, used[c - s] + 1
+        if by[room] >= 0:
+            break
+    at = max(c for c in range(room + 1) if by[c] >= 0)
+    out = {first: 1}
+    while at:
+        out[by[at]] = out.get(by[at], 0) + 1
+        at -= by[at]
+    return out
 
 
 def places(patterns: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import stage, table
 
 EPSILON = 3.0  # the error bound holds but for about 1 in 400 pairs near the k-th place
-CANDIDATES, QUERIES = 8192, 1024  # rows of a block
+CANDIDATES, QUERIES = 8192, 16384  # rows of a block
 
 
 def rotation(dim: int, seed: int = 7) -> np.ndarray:
