@@ -6,6 +6,7 @@ import pytest
 
 ROOT = str(Path(__file__).resolve().parents[1])
 sys.path.insert(0, ROOT)
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # BLAS threads and Spark's tasks would compete for the same cores
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}".rstrip(":")  # the Python workers find the package from any folder
 
 
