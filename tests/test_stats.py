@@ -46,6 +46,31 @@ def test_group_models_agree_whether_small_or_large(spark):
     assert small.keys() == large.keys() and all(small[k][1:] == large[k][1:] and abs(small[k][0] - large[k][0]) < 0.01 for k in small)
 
 
+def test_large_groups_choose_alpha_and_drop_sparse_features(spark):
+    """One group above 20,000 rows, one small one and one with a null key, each as ridge_cv fits it."""
+    rng = np.random.default_rng(4)
+    parts = []
+    for g, n in (("large", 20_011), ("small", 37), (None, 52)):
+        pdf = pd.DataFrame({"g": [g] * n, "i": rng.permutation(n), "x": rng.standard_normal(n) + 7, "z": rng.standard_normal(n), "thin": rng.standard_normal(n)})
+        pdf.loc[rng.random(n) < 0.9, "thin"] = np.nan
+        pdf.loc[rng.random(n) < 0.1, "z"] = np.nan
+        pdf["y"] = 0.02 * pdf.x + rng.standard_normal(n)
+        parts.append(pdf)
+    flat = pd.DataFrame({"g": "flat", "i": range(20_001), "x": rng.standard_normal(20_001), "z": 0.1, "thin": np.nan, "y": 1.0})
+    rows = [tuple(None if isinstance(v, float) and np.isnan(v) else v for v in r) for r in pd.concat([*parts, flat]).astype(object).itertuples(index=False)]
+    df = spark.createDataFrame(rows, "g string, i long, x double, z double, thin double, y double")
+    got = {(r.grp, r.feature): r for r in analytics.class_models(df, "g", "y", ["x", "z", "thin"], "i").collect()}
+    assert got.keys() == {(g, f) for g in ("large", "small", None, "flat") for f in ("x", "z")}
+    for pdf in parts:
+        own = pdf.sort_values("i").dropna(subset=["x", "z"])
+        m = stats.ridge_cv(own[["x", "z"]].to_numpy(), own.y.to_numpy())
+        for k, f in enumerate(("x", "z")):
+            r = got[pdf.g.iloc[0], f]
+            assert r.n == len(own) and r.alpha == m["alpha"] and r.tier == "B"
+            assert (r.std_beta, r.beta, r.r2, r.cv_r2) == pytest.approx((m["std_beta"][k], m["beta"][k], m["r2"], m["cv_r2"]), abs=1e-9)
+    assert {r.tier for (g, _), r in got.items() if g == "flat"} == {"one-design"}
+
+
 def test_tiers_of_small_groups(spark):
     rows = [("few", i, float(i), 1.0 + i) for i in range(3)] + [("flat", i, float(i), 1.0) for i in range(6)] + [("one", 0, 1.0, 1.0)]
     got = {(r.grp, r.tier) for r in analytics.class_models(spark.createDataFrame(rows, "g string, i int, x double, y double"), "g", "y", ["x"], "i").collect()}

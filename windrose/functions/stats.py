@@ -7,6 +7,7 @@ import math
 import numpy as np
 
 ALPHAS = np.logspace(-2, 2, 20)
+FOLDS, LEAST_CV = 5, 15  # contiguous folds, from so many rows on
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -109,3 +110,41 @@ def ridge_cv(x: np.ndarray, y: np.ndarray, folds: int = 5) -> dict:
         alpha, best = float(ALPHAS[int(np.argmax(scores))]), float(np.max(scores))
     w = ridge(z, y, alpha)
     return {"alpha": alpha, "cv_r2": best, "r2": r2(y, z @ w + y.mean()), "std_beta": w, "beta": w / scale}
+
+
+def merged(parts: list[tuple]) -> tuple:
+    """(rows, means, sums of products around the means) of several such parts together."""
+    n, mean, products = parts[0]
+    for n2, mean2, products2 in parts[1:]:
+        d = mean2 - mean
+        products = products + products2 + np.outer(d, d) * (n * n2 / (n + n2))
+        mean = mean + d * (n2 / (n + n2))
+        n = n + n2
+    return n, mean, products
+
+
+def ridge_from_moments(parts: list[tuple]) -> dict:
+    """What ridge_cv returns, from (rows, means, sums of products) of each fold; the target is the last column. One part
+    takes the least alpha and no cv_r2."""
+    n, mean, s = merged(parts)
+    scale = np.sqrt(np.diag(s)[:-1] / n)
+    scale = np.append(np.where(scale > 0, scale, 1.0), 1.0)
+    parts = [(k, (m - mean) / scale, p / np.outer(scale, scale)) for k, m, p in parts]
+    s = s / np.outer(scale, scale)
+
+    solve = lambda s, a: np.linalg.solve(s[:-1, :-1] + a * np.eye(len(s) - 1), s[:-1, -1])
+    misfit = lambda s, w: s[-1, -1] - 2 * w @ s[:-1, -1] + w @ s[:-1, :-1] @ w
+    alpha, best = float(ALPHAS[0]), None
+    if len(parts) > 1:
+        each = np.empty((len(parts), len(ALPHAS)))
+        for i, (k, m, p) in enumerate(parts):
+            _, rest, r = merged(parts[:i] + parts[i + 1 :])
+            for j, a in enumerate(ALPHAS):
+                w = solve(r, a)
+                off = (m - rest)[-1] - (m - rest)[:-1] @ w
+                each[i, j] = 1 - (misfit(p, w) + k * off * off) / p[-1, -1] if p[-1, -1] > 0 else np.nan
+        scores = each.mean(0)
+        alpha, best = float(ALPHAS[int(np.argmax(scores))]), float(np.max(scores))
+    w = solve(s, alpha)
+    fit = float(1 - misfit(s, w) / s[-1, -1]) if s[-1, -1] > 0 else float("nan")
+    return {"alpha": alpha, "cv_r2": best, "r2": fit, "std_beta": w, "beta": w / scale[:-1]}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from .relational import expected_share
+from .resolve import checkpoint_dir
 
 # How hard a measurement is to change (1 easy, 8 not at all), and what a step of each class costs.
 FEASIBILITY = {
@@ -77,58 +78,69 @@ def usable_features(df: DataFrame, group: str, features: Sequence[str], coverage
     return kept.select(*[F.when(F.col(f"_k_{c}"), F.col(c)).alias(c) if c in features else F.col(c) for c in df.columns if not c.startswith("_k_")])
 
 
-def class_models(df: DataFrame, group: str, target: str, features: Sequence[str], order: str, least: int = 5, cap: int = 20_000) -> DataFrame:
+def class_models(df: DataFrame, group: str, target: str, features: Sequence[str], order: str, least: int = 5, cap: int | None = None) -> DataFrame:
     """A ridge model of target on features for every group, a row a feature: std_beta, beta, rank, tier, alpha, r2,
     cv_r2, n. Groups of fewer than `least` rows get correlations (tier 'C'), groups without spread tier 'one-design'.
+    Features filled below half of a group's rows are left out there; rows with a null in the others are dropped.
 
-    Groups of up to cap rows are fitted in one task each with folds in the order given. Larger ones are fitted from
-    their sums of products, which one aggregation yields, with the least alpha; cv_r2 is null there."""
+    Groups of every size take one path: rows are numbered in the order given over range partitions, dealt into
+    contiguous folds, and reduced to means and sums of products by (group, fold), from which alpha is chosen and the
+    model fitted. Rows with a null key are a group of their own. cap has no effect; older callers name it."""
     schema = "grp string, feature string, std_beta double, beta double, rank int, tier string, alpha double, r2 double, cv_r2 double, n long"
-    features = list(features)
+    features, columns = list(features), [c.split()[0] for c in schema.split(", ")]
+    xs = [f"x{i}" for i in range(len(features))]
+    names = [*xs, "y"]
+    number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    rows = df.select(F.col(group).cast("string").alias("grp"), F.col(order).alias("o"), *[number(f).alias(x) for f, x in zip(features, xs, strict=True)], number(target).alias("y"))
+
+    filled = rows.groupBy(F.col("grp").alias("g")).agg(*[(F.count(x) / F.count("*") >= 0.5).alias(f"k_{x}") for x in xs])
+    x = rows.join(filled, F.col("grp").eqNullSafe(F.col("g"))).drop("g").filter(F.col("y").isNotNull())
+    for c in xs:
+        x = x.filter(F.col(c).isNotNull() | ~F.col(f"k_{c}")).withColumn(c, F.when(F.col(f"k_{c}"), F.col(c)))
+
+    # written, so that the offsets and the rows see the same partitions
+    checkpoint_dir(df.sparkSession)
+    inside = [F.col("o").asc_nulls_last(), *names]
+    dealt = x.select("grp", "o", *names).repartitionByRange("grp", *inside).withColumn("p", F.spark_partition_id()).checkpoint()
+    per = dealt.groupBy(F.col("grp").alias("g"), F.col("p").alias("q")).agg(F.count("*").alias("c"))
+    whole = Window.partitionBy("g")
+    per = per.withColumn("before", F.sum("c").over(whole.orderBy("q")) - F.col("c")).withColumn("n", F.sum("c").over(whole))
+    at = F.row_number().over(Window.partitionBy("grp", "p").orderBy(*inside)) - 1 + F.col("before")
+    size, more = F.expr(f"n div {stats.FOLDS}"), F.col("n") % stats.FOLDS
+    fold = F.when(F.col("at") < more * (size + 1), F.floor(F.col("at") / (size + 1))).otherwise(more + F.floor((F.col("at") - more * (size + 1)) / size))
+    numbered = dealt.join(per, F.col("grp").eqNullSafe(F.col("g")) & (F.col("p") == F.col("q"))).withColumn("at", at)
+    folds = numbered.withColumn("fold", F.when(F.col("n") >= stats.LEAST_CV, fold).otherwise(0).cast("int"))
+    moments = [F.count("*").alias("n"), *[how(a).alias(f"{k}_{a}") for a in names for k, how in (("lo", F.min), ("hi", F.max), ("m", F.avg))]]
+    moments += [F.covar_pop(a, b).alias(f"c_{a}_{b}") for i, a in enumerate(names) for b in names[i:]]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = str(pdf[group].iloc[0])
-        pdf = pdf.sort_values(order)
-        cols = [f for f in features if pdf[f].notna().mean() >= 0.5]
-        pdf = pdf.dropna(subset=[*cols, target])
-        x, y = pdf[cols].to_numpy(float), pdf[target].to_numpy(float)
-        n = len(y)
-        empty = pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+        pdf = pdf.sort_values("fold")
+        g, n = pdf.grp.iloc[0], int(pdf.n.sum())
+        kept = [i for i, c in enumerate(xs) if pdf[f"m_{c}"].notna().all()]
+        cols, used = [features[i] for i in kept], [*[xs[i] for i in kept], "y"]
+        made = lambda rows: pd.DataFrame(rows, columns=columns)
         if n < 2 or not cols:
-            return empty
-        if np.ptp(y) < 0.001:
-            return pd.DataFrame([(g, c, 0.0, 0.0, i + 1, "one-design", None, None, None, n) for i, c in enumerate(cols)], columns=empty.columns)
+            return made([])
+        if pdf.hi_y.max() - pdf.lo_y.min() < 0.001:
+            return made([(g, c, 0.0, 0.0, i + 1, "one-design", None, None, None, n) for i, c in enumerate(cols)])
+        parts = []
+        for r in pdf.to_dict("records"):
+            products = [[r[f"c_{a}_{b}"] if f"c_{a}_{b}" in r else r[f"c_{b}_{a}"] for b in used] for a in used]
+            parts.append((r["n"], np.array([r[f"m_{a}"] for a in used]), np.array(products) * r["n"]))
+        for i, a in enumerate(used):  # a mean is a rounded sum: keep a constant feature's spread at 0
+            if (low := pdf[f"lo_{a}"].min()) == pdf[f"hi_{a}"].max():
+                for _, m, p in parts:
+                    m[i], p[i], p[:, i] = low, 0.0, 0.0
         if n < least:
-            r = [float(np.corrcoef(x[:, i], y)[0, 1]) if x[:, i].std() > 0 else 0.0 for i in range(len(cols))]
-            order_ = np.argsort([-abs(v) for v in r], kind="stable")
-            return pd.DataFrame([(g, cols[i], r[i], None, k + 1, "C", None, None, None, n) for k, i in enumerate(order_)], columns=empty.columns)
-        m = stats.ridge_cv(x, y)
+            s = stats.merged(parts)[2]
+            r = [float(s[i, -1] / np.sqrt(s[i, i] * s[-1, -1])) if s[i, i] > 0 else 0.0 for i in range(len(cols))]
+            return made([(g, cols[i], r[i], None, k + 1, "C", None, None, None, n) for k, i in enumerate(np.argsort([-abs(v) for v in r], kind="stable"))])
+        m = stats.ridge_from_moments(parts)
         tier = "A" if m["r2"] > 0.3 else "B"
         order_ = np.argsort(-np.abs(m["std_beta"]), kind="stable")
-        return pd.DataFrame([(g, cols[i], m["std_beta"][i], m["beta"][i], k + 1, tier, m["alpha"], m["r2"], m["cv_r2"], n) for k, i in enumerate(order_)], columns=empty.columns)
+        return made([(g, cols[i], m["std_beta"][i], m["beta"][i], k + 1, tier, m["alpha"], m["r2"], m["cv_r2"], n) for k, i in enumerate(order_)])
 
-    sizes = df.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"))
-    small = df.join(sizes.filter(F.col("_n") <= cap).drop("_n"), F.col(group) == F.col("_g")).drop("_g")
-    large = df.join(sizes.filter(F.col("_n") > cap).drop("_n"), F.col(group) == F.col("_g")).drop("_g").dropna(subset=[*features, target])
-    names = [*features, target]
-    moments = [F.count("*").alias("n")] + [F.avg(a).alias(f"m{i}") for i, a in enumerate(names)] + [F.covar_pop(a, b).alias(f"c{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]
-
-    def from_moments(it):
-        for pdf in it:
-            rows = []
-            for r in pdf.to_dict("records"):
-                p, n = len(features), r["n"]
-                cov = np.array([[r[f"c{min(i, j)}_{max(i, j)}"] for j in range(p + 1)] for i in range(p + 1)])
-                scale = np.sqrt(np.where(np.diag(cov)[:p] > 0, np.diag(cov)[:p], 1))
-                z, zy = cov[:p, :p] / np.outer(scale, scale) * n, cov[:p, p] / scale * n
-                w = np.linalg.solve(z + stats.ALPHAS[0] * np.eye(p), zy)
-                total = cov[p, p] * n
-                fit = float(1 - (total - 2 * w @ zy + w @ z @ w) / total) if total > 0 else float("nan")
-                for k, i in enumerate(np.argsort(-np.abs(w), kind="stable")):
-                    rows.append((str(r[group]), features[i], w[i], w[i] / scale[i], k + 1, "A" if fit > 0.3 else "B", float(stats.ALPHAS[0]), fit, None, n))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-
-    return small.groupBy(group).applyInPandas(one, schema).unionByName(large.groupBy(group).agg(*moments).mapInPandas(from_moments, schema))
+    return folds.groupBy("grp", "fold").agg(*moments).groupBy("grp").applyInPandas(one, schema)
 
 
 def collinear_pairs(df: DataFrame, features: Sequence[str], limit: float = 0.9) -> DataFrame:
