@@ -105,3 +105,13 @@ def test_gates_and_names(spark):
     said = spark.createDataFrame([(1, "rated 1.05, not 9.9, of 12")], "k int, s string")
     ok = spark.createDataFrame([(1, 1.0487), (1, -12.0)], "k int, v double")
     assert {r.x for r in quality.number_audit(said, "k", "s", ok, "v").collect()} == {9.9}
+
+
+def test_modal_segment_gives_the_operator_every_customer(spark, monkeypatch):
+    from windrose.plans import operations
+
+    seen = []
+    monkeypatch.setattr(operations.rel, "modal_value", lambda df, *a: seen.append(df) or df)
+    operations.modal_segment(spark, "/root/testdata/sf0.001")
+    customers = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").count()
+    assert seen[0].count() == customers > seen[0].filter("c_mktsegment IS NOT NULL").count() > 0
