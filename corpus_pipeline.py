@@ -2,8 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows that the stage before it kept, and returns the columns of
 documents; the last one returns the packed pieces. run() writes each stage's rows as Parquet in the shared folder and
-reads them again as the next one's documents. Rows without a doc_id leave at the near-duplicate stage, which names the
-documents that stay by their ids."""
+reads them again as the next one's documents. Rows whose doc_id is null or repeated are documents like others."""
 
 from __future__ import annotations
 
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windrose.llm import langid, mixing, neardup, packing, pii
-from windrose.llm.common import bucket_of, stage, table
+from windrose.llm.common import bucket_of, numbered, stage, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,10 +21,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id."""
-    found = neardup.near_duplicates(docs.select("doc_id", "text"))
-    kept = found.filter("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each group: the one with the smallest id, one without an id only if no other has one."""
+    rows = numbered(docs)
+    kept = neardup.grouped(rows).filter("kept").select("_row")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

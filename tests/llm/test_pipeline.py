@@ -47,6 +47,23 @@ def test_stages(spark, tmp_path):
     assert packed.keys() == words.keys()
 
 
+def test_null_and_repeated_ids_stay(spark):
+    """A null-id row among copies with a near copy, a null-id row alone, null-id copies, two texts under one id."""
+    text = " ".join(f"w{i}" for i in range(100))
+    rows = [(None, text), (5, text), (6, text), (7, text + " more"), (None, "alone here as one"), (None, "a pair of copies"), (None, "a pair of copies"), (9, "the first text of nine"), (9, "another one of nine"), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = [(5, text), (9, "another one of nine"), (9, "the first text of nine"), (None, "a pair of copies"), (None, "alone here as one"), (None, None)]
+    kept = stage(cp.near_duplicates(spark, docs, ""))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(want, key=repr)
+
+    from windrose.llm import neardup
+
+    found = {(r.doc_id, r.component_id) for r in neardup.near_duplicates(docs).filter("n_shingles > 90").collect()}
+    assert found == {(None, 5), (5, 5), (6, 5), (7, 5)}
+    drawn = mixing.drawn(docs, expand=2.0)  # every row twice, each its own words
+    assert sorted((r.doc_id or 0, r.text) for r in drawn.collect()) == sorted((i or 0, t) for i, t in rows * 2 if t)
+
+
 def test_empty_table(spark):
     docs = documents(spark).limit(0)
     for name, step in cp.STAGES:

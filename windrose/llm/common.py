@@ -50,6 +50,12 @@ def discard(*dfs: DataFrame) -> None:
             p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df as a written table with an own number for every row, _row, so that rows whose keys are null or repeated can be
+    told apart by all that reads it."""
+    return stage(df.withColumn("_row", F.monotonically_increasing_id()))
+
+
 def bucket_of(col: str | Column, n: int) -> Column:
     """crc32 of the value as text, modulo n: the folds that the held-out columns use."""
     return F.pmod(F.crc32(F.col(col).cast("string") if isinstance(col, str) else col.cast("string")), F.lit(n))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stage, table
+from .common import WORD, numbered, stage, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 EXPAND, MAX_EPOCHS, SEED = 1.5, 2.0, 11
@@ -32,7 +32,7 @@ SLICE_ROWS = 20_000  # documents of a source that one task orders
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    return docs.select("doc_id", *["_row"] * ("_row" in docs.columns), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def water_fill(sources: DataFrame, weights: tuple[float, ...], expand: float, max_epochs: float) -> DataFrame:
@@ -55,7 +55,9 @@ def water_fill(sources: DataFrame, weights: tuple[float, ...], expand: float, ma
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, expand: float = EXPAND, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, repeats (whole ones), part (words of one more, partial one), taken."""
+    """doc_id, source, size, source_size, target, repeats (whole ones), part (words of one more, partial one), taken.
+    The rows of a numbered() table keep their _row, which decides ties of doc_id."""
+    number = ["_row"] * ("_row" in docs.columns)
     sized = stage(sizes(docs))
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     filled = water_fill(per_source.select("source", F.col("source_size").cast("double").alias("source_size")), weights, expand, max_epochs)
@@ -66,7 +68,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, expand: float = EXPAND, max_epochs: fl
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     x = x.withColumn("ratio", ratio).withColumn("whole", F.floor("ratio")).withColumn("slice", F.pmod(dealt, F.col("slices")))
     one = Window.partitionBy("source", "slice")
-    order = one.orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = one.orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", *number).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     quota = F.round(F.sum("size").over(one) * (F.col("ratio") - F.col("whole")))
     left = quota - (F.sum("size").over(order) - F.col("size"))
     more = F.least(F.col("size"), F.greatest(F.lit(0), left)).cast("long")
@@ -74,6 +76,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, expand: float = EXPAND, max_epochs: fl
     extra = ((F.col("more") == F.col("size")) & (F.col("size") > 0)).cast("long")
     return x.select(
         "doc_id",
+        *number,
         "source",
         "size",
         F.col("source_size").cast("long").alias("source_size"),
@@ -97,7 +100,8 @@ def first_words(text: str, n: int) -> str:
 def drawn(docs: DataFrame, **how) -> DataFrame:
     """The mixed documents themselves, with the columns of docs: each one as often as it is repeated whole, and its
     first words where a part of it is taken. A column n_chars is set to the new length of a shortened text."""
-    plan = mix(docs, **how).filter("taken > 0").select("doc_id", "repeats", "part").dropDuplicates(["doc_id"])
+    rows = numbered(docs)
+    plan = mix(rows, **how).filter("taken > 0").select("_row", "repeats", "part")
     names = docs.columns
     at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
@@ -114,7 +118,7 @@ def drawn(docs: DataFrame, **how) -> DataFrame:
 
     whole = F.transform(F.sequence(F.lit(1), F.col("repeats")), lambda _: F.lit(0).cast("long"))
     copies = F.concat(F.when(F.col("repeats") > 0, whole).otherwise(F.array().cast("array<bigint>")), F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<bigint>")))
-    return docs.join(plan, "doc_id").select(*names, F.explode(copies).alias("__part")).mapInArrow(batches, docs.schema)
+    return rows.join(plan, "_row").select(*names, F.explode(copies).alias("__part")).mapInArrow(batches, docs.schema)
 
 
 def op8_water_fill(spark: SparkSession, sf_dir: str) -> DataFrame:

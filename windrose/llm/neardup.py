@@ -15,9 +15,9 @@ second star, large buckets are split by further bands, and the pairs between com
 With 24 bands of 6 registers a pair at the threshold is missed with a probability of about 1e-5, and the estimate's
 margin is five standard deviations.
 
-Defined results: words of null or empty texts are none: size 0, linked with nothing; repeated rows are linked as copies
-(rows with the same doc_id and different sets count as one node with the set of the least key); texts are read whole;
-an empty table gives no rows; other columns are ignored.
+Defined results: words of null or empty texts are none: size 0, linked with nothing; every row is a document of its own,
+whatever its doc_id: repeated rows are linked as copies, rows with a null doc_id take part, and a group is named by its
+least doc_id (null if none has one); texts are read whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, frame, stage, table
+from .common import discard, frame, numbered, stage, table
 
 SHINGLE, BANDS, ROWS = 5, 24, 6
 M = BANDS * ROWS
@@ -128,25 +128,25 @@ def estimate(r1: np.ndarray, r2: np.ndarray, n1: np.ndarray, n2: np.ndarray) ->
 
 # --- Spark ------------------------------------------------------------------------------------------------------------
 
-SKETCHED = "doc_id long, key binary, n long, registers binary"
+SKETCHED = "_row long, doc_id long, key binary, n long, registers binary"
 
 
-def sketched(docs: DataFrame) -> DataFrame:
+def sketched(rows: DataFrame) -> DataFrame:
     import hashlib
 
-    arrow = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("registers", pa.binary())])
+    arrow = pa.schema([("_row", pa.int64()), ("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("registers", pa.binary())])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             keys, sizes, regs = [], [], []
-            for text in frame(b.column(1)):
+            for text in frame(b.column(2)):
                 s = shingles(text)
                 sizes.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 regs.append(sketch(s).tobytes() if len(s) else b"")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(regs, pa.binary())], schema=arrow)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(regs, pa.binary())], schema=arrow)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(batches, SKETCHED)
+    return rows.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(batches, SKETCHED)
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
@@ -185,8 +185,8 @@ def estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(batches, "a long, b long, j double")
 
 
-def fetched(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """id, items: the full sets of these documents. The texts are dealt by doc_id whatever the number of ids, so that
+def fetched(ids: DataFrame, rows: DataFrame) -> DataFrame:
+    """id, items: the full sets of these documents. The texts are dealt by row whatever the number of ids, so that
     the plan is the same at every size."""
     arrow = pa.schema([("id", pa.int64()), ("items", pa.binary())])
 
@@ -194,8 +194,8 @@ def fetched(ids: DataFrame, docs: DataFrame) -> DataFrame:
         for b in it:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t).tobytes() for t in frame(b.column(1))], pa.binary())], schema=arrow)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    return stage(texts.join(ids.hint("merge"), "id", "left_semi").mapInArrow(sets, "id long, items binary").dropDuplicates(["id"]))
+    texts = rows.select(F.col("_row").alias("id"), "text")
+    return stage(texts.join(ids.hint("merge"), "id", "left_semi").mapInArrow(sets, "id long, items binary"))
 
 
 def confirmed(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
@@ -308,14 +308,24 @@ def mixed_keys(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFr
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    base = stage(sketched(docs))
-    reps = base.filter("n > 0").groupBy("key").agg(F.min(F.struct("doc_id", "n", "registers")).alias("r")).select("key", F.col("r.doc_id").alias("id"), F.col("r.n").alias("n"), F.col("r.registers").alias("registers"))
+    rows = numbered(docs.select("doc_id", "text"))
+    out = grouped(rows, percent)
+    discard(rows)
+    return out.drop("_row", "kept")
+
+
+def grouped(rows: DataFrame, percent: int = 85) -> DataFrame:
+    """_row, doc_id, n_shingles, component_id and kept of every row of a numbered() table. Of each group one row is kept:
+    the one with the least doc_id, nulls last."""
+    base = stage(sketched(rows))
+    named = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row", "n", "registers")  # nulls last
+    reps = base.filter("n > 0").groupBy("key").agg(F.min(named).alias("r")).select("key", F.col("r._row").alias("id"), F.col("r.none").alias("none"), F.col("r.doc_id").alias("doc_id"), F.col("r.n").alias("n"), F.col("r.registers").alias("registers"))
     nodes = stage(reps)
     members = stage(buckets(nodes))
     deal = members.select("id", "n", F.explode("bands").alias("k"))
     leader = stage(deal.groupBy("k").agg(F.min(F.struct(F.xxhash64("k", "id"), "id", "n")).alias("l"), F.count("*").alias("c")).filter("c > 1").select("k", F.col("l.id").alias("a"), F.col("l.n").alias("n_a")))
     together = stage(deal.join(leader, "k").select("id", "n", "k", "a", "n_a"))
-    items = fetched(together.select("id").distinct(), docs)
+    items = fetched(together.select("id").distinct(), rows)
 
     # each member with its bucket's leader: the best pair first, others where they would join components
     close = (F.col("a") != F.col("id")) & close_sizes(F.col("n"), F.col("n_a"), percent)
@@ -347,12 +357,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         edges = edges.union(confirmed(pairs, items, percent))
         labels = components(edges)
     discard(members, leader, together, items, likely, first, some, typical, pairs)
-    of_key = nodes.select("key", "id").join(labels, "id", "left").select("key", F.coalesce("comp", "id").alias("comp"))
-    joined = base.join(of_key, "key", "left")
-    comp = F.when(F.col("n") > 0, F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"))
+    of_node = with_components(nodes.select("key", "id", "none", "doc_id"), labels)
+    least = of_node.groupBy("comp").agg(F.min(F.struct("none", "doc_id", "id")).alias("least"))
+    joined = base.join(of_node.join(least, "comp").select("key", "least"), "key", "left")
+    comp = F.when(F.col("n") > 0, F.col("least.doc_id")).otherwise(F.col("doc_id"))
+    kept = (F.col("n") == 0) | (F.col("_row") == F.col("least.id"))
+    return joined.select("_row", "doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), kept.alias("kept"))
 
 
 def op7_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    rows = numbered(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = grouped(rows, 85)
+    discard(rows)
+    return out.drop("_row")
