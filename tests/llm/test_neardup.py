@@ -48,12 +48,44 @@ def fixture_rows():
     return list(enumerate(docs)) + [(1000 + i, docs[i]) for i in range(10)]
 
 
-@pytest.mark.parametrize("small", [1000, 4])
-def test_equals_brute_force(spark, monkeypatch, small):
-    monkeypatch.setattr(neardup, "SMALL", small)
+@pytest.mark.parametrize("percent, rounds", [(85, 2), (85, 0), (80, 2)])
+def test_equals_brute_force(spark, monkeypatch, percent, rounds):
+    """With and without the stars over rare items."""
+    monkeypatch.setattr(neardup, "ROUNDS", rounds)
     rows = fixture_rows()
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute(rows, percent)
+
+
+def test_edited_copies_without_their_original(spark):
+    """Copies with two edits each, most of them too far apart to link, and none of the text that they come from: the
+    exact search meets few pairs."""
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(300):
+        c = list(base)
+        for at in rng.choice(150, 2 + i % 2, replace=False):
+            c[at] = f"own{i}x{at}" if i % 3 else f"own{at}"
+        rows.append((i, " ".join(c)))
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute(rows, 85)
+
+
+def test_default_threshold():
+    assert neardup.PERCENT == 80
+
+
+def test_repeated_ids_and_very_long_texts(spark):
+    """Rows that share an id are documents of their own; a text of 60,000 words and its near copy are linked."""
+    rng = np.random.default_rng(5)
+    long = [f"w{i}" for i in rng.integers(0, 5000, 60_000)]
+    near = list(long)
+    for at in rng.integers(0, len(near), 300):
+        near[at] = "edit"
+    rows = [(3, "a b c d e f g"), (3, "one two three four five six"), (2, "one two three four five six"), (8, " ".join(long)), (9, " ".join(near))]
     out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute(rows)
+    assert sorted((r.doc_id, r.component_id) for r in out) == [(2, 2), (3, 2), (3, 3), (8, 8), (9, 8)]
 
 
 def test_empty_table_and_extra_columns(spark):

@@ -5,7 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only in local mode (tests)."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not getattr(sc, "_windrose_dir", None):
         sc._windrose_dir = tempfile.mkdtemp(prefix="windrose-")
         sc.setCheckpointDir(sc._windrose_dir)
@@ -50,10 +56,18 @@ def discard(*dfs: DataFrame) -> None:
             p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """df as a written table with an own number for every row, _row, so that rows whose keys are null or repeated can be
-    told apart by all that reads it."""
-    return stage(df.withColumn("_row", F.monotonically_increasing_id()))
+def unused(name: str, df: DataFrame) -> str:
+    """name, with underscores before it as long as df has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def numbered(df: DataFrame, row: str = "_row") -> DataFrame:
+    """df as a written table with an own number for every row, so that rows whose keys are null or repeated can be told
+    apart by all that reads it."""
+    return stage(df.withColumn(row, F.monotonically_increasing_id()))
 
 
 def bucket_of(col: str | Column, n: int) -> Column:
@@ -73,3 +87,19 @@ def sample_ids(df: DataFrame, key: str, n: int, seed: int = 17) -> DataFrame:
 def frame(column) -> list:
     """An Arrow text column as Python strings, null as empty."""
     return [x if x is not None else "" for x in column.to_pylist()]
+
+
+PORTION = 2 << 20  # bytes of text that a worker holds as Python objects at a time
+
+
+def portions(batches: Iterator[pa.RecordBatch], at: int, most: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose texts (column at) take about `most` bytes, one row at least: Arrow batches count
+    rows, so a batch of long texts would take many times its size once it is split into words."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < b.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield b.slice(start, end - start)
+            start = end

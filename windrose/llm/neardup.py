@@ -6,14 +6,24 @@ maximum and agree with a probability close to the Jaccard similarity. Bands of r
 pair that shares a bucket is estimated by maximum likelihood from how many registers are larger on either side, and if
 the estimate leaves a link possible, the pair is confirmed on the full sets.
 
-Groups stay linear. Equal sets are one node. A bucket sends only pairs of each member with a leader, drawn afresh for
-every band; a member's best pair is confirmed first, others only if they would join different components. Then the
-buckets that still hold several components are searched whole, so that no link depends on which leader was drawn:
-members that share too little with all others together to link with any are set aside, the most typical member leads a
-second star, large buckets are split by further bands, and the pairs between components that are left are compared.
-
-With 24 bands of 6 registers a pair at the threshold is missed with a probability of about 1e-5, and the estimate's
-margin is five standard deviations.
+Groups stay linear. Equal sets are one node. In a round of stars, every bucket that holds several components has a
+leader, the member with the most neighbours, which in a group of edited copies is the text that the others come from.
+Every member is paired with one leader only, the one that it shares most buckets with: one pair a member, however large
+the group and many the bands.
+
+Members of buckets that then still hold several components are searched exactly, so that no link depends on a leader. A
+pair above the threshold shares an item within both sets' first items in an order from rare to frequent, counted among
+these members; how many come first depends on both sizes, so items are dealt by classes of sizes. In a group of edited
+copies the first items are a copy's own edits, so copies that differ too much to link don't meet. Two more rounds of
+stars run over these items as buckets, the second with leaders drawn afresh; then all pairs between components that are
+left and share such an item are compared: items whose holders are all of one component are left out, and of the others
+the largest component's holders are only set against the rest. Before a pair is made, parities of the sets' items bound
+from below how many items only one of them holds. What is left to be tried grows with the square of a group only where
+many of its members lie just below the threshold; each such trial costs a few operations on 64-bit words.
+
+With 24 bands of 6 registers a pair at a similarity of 0.85 is missed with a probability of about 1e-5, at 0.8 of about
+7e-4 by bands alone (a chain of links through other members still joins it); the estimate's margin is five standard
+deviations.
 
 Defined results: words of null or empty texts are none: size 0, linked with nothing; every row is a document of its own,
 whatever its doc_id: repeated rows are linked as copies, rows with a null doc_id take part, and a group is named by its
@@ -29,14 +39,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, frame, numbered, stage, table
+from .common import discard, frame, numbered, portions, stage, table
 
 SHINGLE, BANDS, ROWS = 5, 24, 6
 M = BANDS * ROWS
 B, A, LIMIT = 1.001, 20.0, 65_534
 MARGIN = 5.0
-SMALL = 1000  # rows of a bucket whose pairs are compared directly
-DEPTH = 3  # splits of a larger bucket
+PERCENT = 80
+ROUNDS = 2  # of stars over rare items
+WIDTH = 1.02  # ratio of neighbouring classes of sizes
+WORDS = [f"w{i}" for i in range(8)]  # of 64 parity bits each
 
 _rng = np.random.default_rng(99)
 BYTE = _rng.integers(0, 2**64, 256, np.uint64)
@@ -126,6 +138,14 @@ def estimate(r1: np.ndarray, r2: np.ndarray, n1: np.ndarray, n2: np.ndarray) ->
     return (low + high) / 2
 
 
+def parities(items: np.ndarray) -> np.ndarray:
+    """Whether an odd number of items fall into each of 64 * len(WORDS) places, packed. Two sets' parities differ at no
+    more places than items are in only one of them."""
+    n = 64 * len(WORDS)
+    odd = np.bincount((items & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 # --- Spark ------------------------------------------------------------------------------------------------------------
 
 SKETCHED = "_row long, doc_id long, key binary, n long, registers binary"
@@ -137,7 +157,7 @@ def sketched(rows: DataFrame) -> DataFrame:
     arrow = pa.schema([("_row", pa.int64()), ("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("registers", pa.binary())])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in portions(it, 2):
             keys, sizes, regs = [], [], []
             for text in frame(b.column(2)):
                 s = shingles(text)
@@ -165,81 +185,47 @@ def close_sizes(n1, n2, percent: int):
     return F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
 
 
-def estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b) with their estimate j, without those whose estimate rules a link out."""
-    t = percent / 100
-    least = t - MARGIN * np.sqrt(t * (1 - t) / M)
-    side = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "r_a", "r_b")
-    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("j", pa.float64())])
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in it:
-            if not x.num_rows:
-                continue
-            r1, r2 = (np.frombuffer(b"".join(x.column(i).to_pylist()), "<u2").reshape(-1, M) for i in (4, 5))
-            j = estimate(r1, r2, x.column(2).to_numpy().astype(float), x.column(3).to_numpy().astype(float))
-            keep = pa.array(j >= least)
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(j)], schema=arrow).filter(keep)
-
-    return both.mapInArrow(batches, "a long, b long, j double")
-
-
-def fetched(ids: DataFrame, rows: DataFrame) -> DataFrame:
-    """id, items: the full sets of these documents. The texts are dealt by row whatever the number of ids, so that
-    the plan is the same at every size."""
-    arrow = pa.schema([("id", pa.int64()), ("items", pa.binary())])
+def fetched(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """id, registers, items and parities of these nodes, items being the full sets. The texts are dealt by row whatever
+    the number of nodes, so that the plan is the same at every size."""
+    arrow = pa.schema([("id", pa.int64()), ("registers", pa.binary()), ("items", pa.list_(pa.int64())), *[(w, pa.int64()) for w in WORDS]])
 
     def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t).tobytes() for t in frame(b.column(1))], pa.binary())], schema=arrow)
+        for b in portions(it, 2):
+            found = [shingles(t) for t in frame(b.column(2))]
+            words = np.array([parities(x) for x in found]).T
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64())), *map(pa.array, words)], schema=arrow)
 
     texts = rows.select(F.col("_row").alias("id"), "text")
-    return stage(texts.join(ids.hint("merge"), "id", "left_semi").mapInArrow(sets, "id long, items binary"))
+    return stage(texts.join(nodes.select("id", "registers").hint("merge"), "id").select("id", "registers", "text").mapInArrow(sets, f"id long, registers binary, items array<long>, {', '.join(f'{w} long' for w in WORDS)}"))
 
 
 def confirmed(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those whose full sets are similar enough."""
-    both = pairs.select("a", "b").join(items.select(F.col("id").alias("b"), F.col("items").alias("s_b")), "b")
-    both = both.join(items.select(F.col("id").alias("a"), F.col("items").alias("s_a")), "a").select("a", "b", "s_a", "s_b")
+    """The pairs (a, b) that link: those whose estimate leaves it possible, compared on their full sets."""
+    t = percent / 100
+    least = t - MARGIN * np.sqrt(t * (1 - t) / M)
+    side = lambda x: items.select(F.col("id").alias(x), F.col("registers").alias(f"r_{x}"), F.col("items").alias(f"s_{x}"))
+    both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "r_a", "r_b", "s_a", "s_b")
     edges = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in it:
-            good = []
-            for s, t in zip(x.column(2), x.column(3), strict=True):
-                s, t = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64)
-                both = np.concatenate([s, t])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                good.append(100 * common >= percent * (len(s) + len(t) - common))
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], schema=edges).filter(pa.array(good, pa.bool_()))
+        for whole in it:
+            for at in range(0, whole.num_rows, 256):
+                x = whole.slice(at, 256)
+                r1, r2 = (np.frombuffer(b"".join(x.column(i).to_pylist()), "<u2").reshape(-1, M) for i in (2, 3))
+                sets = [(s.values.to_numpy(), t.values.to_numpy()) for s, t in zip(x.column(4), x.column(5), strict=True)]
+                n1, n2 = (np.array([len(s[i]) for s in sets], float) for i in (0, 1))
+                good = estimate(r1, r2, n1, n2) >= least
+                for i in np.flatnonzero(good):
+                    both = np.concatenate(sets[i])
+                    both.sort(kind="stable")
+                    common = int((both[1:] == both[:-1]).sum())
+                    good[i] = 100 * common >= percent * (len(both) - common)
+                yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], schema=edges).filter(pa.array(good, pa.bool_()))
 
     return stage(both.mapInArrow(compare, "a long, b long"))
 
 
-def viable(items: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
-    """id, shared: nodes that could still link with another of these, and how many of their n items any other node has:
-    at least percent of n, since a similarity can't exceed that share. Edited copies of one text hold many items of
-    their own, so most that can't link are known without a comparison."""
-
-    def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            for i, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                x = np.frombuffer(raw.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), i)), pa.array(x), pa.array(np.full(len(x), len(x)))], names=["id", "x", "n"])
-
-    out = None
-    for _ in range(rounds):
-        left = items if out is None else items.join(out.select("id"), "id", "left_semi")
-        rows = left.mapInArrow(each, "id long, x long, n long")
-        shared = stage(rows.groupBy("x").agg(F.count("*").alias("c")).filter("c > 1").select("x"))  # written, so that the join can split a hot item
-        per = rows.join(shared, "x", "left_semi").groupBy("id").agg(F.count("*").alias("c"), F.first("n").alias("n"))
-        out = stage(per.filter(F.col("c") * 100 >= F.col("n") * percent).select("id", F.col("c").alias("shared")))
-        discard(shared)
-    return out
-
-
 def components(edges: DataFrame) -> DataFrame:
     """id, comp (the least id reachable) of every node that has an edge; the lineage is cut every round."""
     both = stage(edges.select("a", "b").union(edges.select("b", "a")).distinct())
@@ -259,54 +245,95 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def with_components(ids: DataFrame, labels: DataFrame) -> DataFrame:
+def with_components(ids: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return ids.withColumn("comp", F.col("id"))
     return ids.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
-def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs between different components."""
-    x = pairs.join(labels.select(F.col("id").alias("a"), F.col("comp").alias("c_a")), "a", "left")
-    x = x.join(labels.select(F.col("id").alias("b"), F.col("comp").alias("c_b")), "b", "left")
-    return x.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).drop("c_a", "c_b")
-
+def merged(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """The components after more edges: those between the components so far are joined themselves."""
+    if labels is None:
+        return components(edges)
+    name = lambda x: labels.select(F.col("id").alias(x), F.col("comp").alias(f"c_{x}"))
+    between = edges.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    moved = components(between.filter("a <> b"))
+    old = labels.join(moved.select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
+    out = stage(old.union(moved.join(labels, "id", "left_anti").select("id", "comp")))
+    discard(labels, moved)
+    return out
 
-def within_reach(n1, s1, n2, s2, percent: int):
-    """Whether two sets can be similar enough by their sizes and by how many of their items any other set has: what
-    they share is at most the lesser of these, and their union at least the rest."""
-    both = F.least(s1, s2)
-    return both * 100 >= (n1 + n2 - both) * percent
 
+def joined_by(pairs: DataFrame, labels: DataFrame | None, items: DataFrame, percent: int) -> DataFrame:
+    edges = confirmed(pairs, items, percent)
+    out = merged(labels, edges)
+    discard(pairs, edges)
+    return out
 
-def mixed_buckets(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components out of all buckets, large ones split by further bands.
 
-    members: id, n, shared, bands. A pair at the threshold shares any further band with the same chance as the first, so each
-    split keeps it but for about 1 in 100,000; a bucket that is still large after DEPTH splits is compared as it is."""
-    dealt = with_components(members, labels).select("id", "n", "shared", "comp", F.explode("bands").alias("k"))
-    found = None
-    for depth in range(DEPTH + 1):
-        size = dealt.groupBy("k").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("k", "size")
-        mixed = stage(dealt.join(size, "k"))
-        direct = mixed if depth == DEPTH else mixed.filter(F.col("size") <= SMALL)
-        left = direct.select("k", F.col("id").alias("a"), F.col("n").alias("n1"), F.col("shared").alias("s1"), F.col("comp").alias("c1"))
-        right = direct.select("k", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("shared").alias("s2"), F.col("comp").alias("c2"))
-        reach = within_reach(F.col("n1"), F.col("s1"), F.col("n2"), F.col("s2"), percent)
-        pairs = left.join(right, "k").filter((F.col("a") < F.col("b")) & (F.col("c1") != F.col("c2")) & reach).select("a", "b")
-        found = pairs if found is None else found.union(pairs)
-        rest = mixed.filter(F.col("size") > SMALL)
-        if depth == DEPTH or rest.limit(1).count() == 0:
-            break
-        dealt = rest.drop("size").join(members.select("id", F.explode("bands").alias("band")), "id").withColumn("k", F.xxhash64("k", "band")).drop("band")
-    return found.distinct()
+def star_pairs(dealt: DataFrame, labels: DataFrame | None, first, percent: int) -> DataFrame:
+    """Pairs (a, b) of a leader and a member, one pair a member: the leader of another component that it shares most
+    buckets with. dealt: id, n, weight, k of the buckets' members; first: the column whose greatest value leads."""
+    rows = with_components(dealt, labels)
+    lead = rows.groupBy("k").agg(F.max(F.struct(first.alias("first"), "id", "n", "comp")).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    lead = stage(lead.filter("lo <> hi").select("k", F.col("l.id").alias("a"), F.col("l.n").alias("n_a"), F.col("l.comp").alias("c_a")))  # written, so that the join can split a hot bucket
+    met = rows.join(lead, "k").filter((F.col("comp") != F.col("c_a")) & close_sizes(F.col("n"), F.col("n_a"), percent))
+    best = met.groupBy("id", "a").agg(F.count("*").alias("bands")).groupBy("id").agg(F.max(F.struct("bands", (-F.col("a")).alias("minus"))).alias("best"))
+    return best.select((-F.col("best.minus")).alias("a"), F.col("id").alias("b"))
+
+
+def needed(n, m, percent: int):
+    """How many items sets of n and m items share at least if they link."""
+    return F.ceil((n + m) * percent / F.lit(100 + percent) - 1e-6)
+
+
+def size_class(n):
+    return F.floor(F.log(n) / F.lit(float(np.log(WIDTH))) + 1e-9).cast("int")
+
+
+def front_items(dealt: DataFrame, labels: DataFrame | None, items: DataFrame, percent: int) -> DataFrame:
+    """id, n, weight, x, own, other, k: of every member of a bucket with several components its first items from rare to
+    frequent, as many as partners of the size class `other` ask for, if another such member holds them. k names item and
+    classes."""
+    rows = with_components(dealt, labels)
+    mixed = rows.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("k")
+    still = stage(rows.join(mixed, "k").select("id", "n", "weight", "comp").distinct())
+    each = items.join(still, "id").select("id", "n", "weight", "comp", F.explode("items").alias("x"))
+    often = stage(each.groupBy("x").agg(F.count("*").alias("c")).filter("c > 1"))  # written, so that the join can split a hot item
+    own, n = Window.partitionBy("id"), F.col("n")
+    held = each.join(often, "x").withColumn("shared", F.count("*").over(own)).withColumn("r", F.row_number().over(own.orderBy("c", "x")))
+    low, high = F.ceil(n * percent / F.lit(100) - 1e-6), F.floor(n * 100 / F.lit(percent) + 1e-6)
+    held = held.withColumn("pos", n - F.col("shared") + F.col("r")).filter(F.col("pos") <= n - low + 1)
+    held = stage(held.select("x", "id", "comp", "n", "weight", "pos"))
+    several = stage(held.groupBy("x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("x"))
+    classes = held.drop("comp").join(several, "x").withColumn("own", size_class(n)).withColumn("other", F.explode(F.sequence(size_class(low), size_class(high))))
+    least = F.greatest(low, F.floor(F.pow(F.lit(WIDTH), F.col("other"))) - 1)
+    front = classes.filter(F.col("pos") <= n - needed(n, least, percent) + 1)
+    out = stage(front.select("id", "n", "weight", "x", "own", "other", F.xxhash64("x", F.least("own", "other"), F.greatest("own", "other")).alias("k")))
+    discard(still, often, held, several)
+    return out
 
 
-def mixed_keys(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members by bucket with their components, and the keys of buckets that hold several."""
-    dealt = with_components(members, labels).select("id", "n", "comp", F.explode("bands").alias("k"))
-    return dealt, dealt.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("k")
+def front_pairs(front: DataFrame, labels: DataFrame | None, items: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of different components that share one of the first items of both, as far as sizes and parities
+    allow a link. Where one component holds most of an item, its members are set against the others only."""
+    held = with_components(front, labels)
+    per = held.groupBy("k", "comp").agg(F.count("*").alias("c"))
+    tops = per.groupBy("k").agg(F.max(F.struct("c", "comp")).alias("most"), F.count("*").alias("comps"))
+    tops = stage(tops.filter("comps > 1").select("k", F.col("most.comp").alias("top")))
+    rows = stage(held.join(tops, "k").join(items.select("id", *WORDS), "id").select("x", "own", "other", "id", "comp", "n", "top", *WORDS))
+    side = rows.drop("top").toDF(*[f"{c}2" for c in rows.drop("top").columns])
+    same = [F.col("x") == F.col("x2"), F.col("own") == F.col("other2"), F.col("other") == F.col("own2")]
+    apart = (F.col("comp") != F.col("comp2")) & ((F.col("comp2") == F.col("top")) | (F.col("id") < F.col("id2"))) & close_sizes(F.col("n"), F.col("n2"), percent)
+    differ = sum(F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}2"))) for w in WORDS)  # at most the items in only one of them
+    reach = differ * (100 + percent) <= (F.col("n") + F.col("n2")) * (100 - percent)
+    pairs = rows.filter("comp <> top").join(side, [*same, apart & reach])
+    out = stage(pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct())
+    discard(tops, rows)
+    return out
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     rows = numbered(docs.select("doc_id", "text"))
     out = grouped(rows, percent)
@@ -314,49 +341,28 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     return out.drop("_row", "kept")
 
 
-def grouped(rows: DataFrame, percent: int = 85) -> DataFrame:
+def grouped(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """_row, doc_id, n_shingles, component_id and kept of every row of a numbered() table. Of each group one row is kept:
     the one with the least doc_id, nulls last."""
     base = stage(sketched(rows))
     named = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row", "n", "registers")  # nulls last
-    reps = base.filter("n > 0").groupBy("key").agg(F.min(named).alias("r")).select("key", F.col("r._row").alias("id"), F.col("r.none").alias("none"), F.col("r.doc_id").alias("doc_id"), F.col("r.n").alias("n"), F.col("r.registers").alias("registers"))
-    nodes = stage(reps)
+    nodes = stage(base.filter("n > 0").groupBy("key").agg(F.min(named).alias("r")).select("key", F.col("r._row").alias("id"), F.col("r.none").alias("none"), F.col("r.doc_id").alias("doc_id"), F.col("r.n").alias("n"), F.col("r.registers").alias("registers")))
     members = stage(buckets(nodes))
     deal = members.select("id", "n", F.explode("bands").alias("k"))
-    leader = stage(deal.groupBy("k").agg(F.min(F.struct(F.xxhash64("k", "id"), "id", "n")).alias("l"), F.count("*").alias("c")).filter("c > 1").select("k", F.col("l.id").alias("a"), F.col("l.n").alias("n_a")))
-    together = stage(deal.join(leader, "k").select("id", "n", "k", "a", "n_a"))
-    items = fetched(together.select("id").distinct(), rows)
-
-    # each member with its bucket's leader: the best pair first, others where they would join components
-    close = (F.col("a") != F.col("id")) & close_sizes(F.col("n"), F.col("n_a"), percent)
-    stars = together.filter(close).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-    likely = stage(estimated(stars, nodes, percent))
-    w = Window.partitionBy("b").orderBy(F.desc("j"), "a")
-    first = stage(likely.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r"))
-    edges = confirmed(first, items, percent)
-    labels = components(edges)
-    edges = edges.union(confirmed(stage(apart(likely.select("a", "b"), labels).join(first.select("a", "b"), ["a", "b"], "left_anti")), items, percent))
-    labels = components(edges)
-
-    # buckets that still hold several components: members that can link at all, with the most typical one as leader
-    dealt, keys = mixed_keys(members, labels)
-    still = dealt.join(keys, "k").select("id").distinct()
-    able = viable(items.join(still, "id", "left_semi"), percent)
-    some = stage(members.join(able, "id"))
-    dealt, keys = mixed_keys(some, labels)
-    dealt = dealt.join(keys, "k").join(able, "id")
-    typical = stage(dealt.groupBy("k").agg(F.max(F.struct((F.col("shared") / F.col("n")).alias("share"), (-F.col("id")).alias("minus"), "n", "shared", "comp")).alias("l")).select("k", (-F.col("l.minus")).alias("a"), F.col("l.n").alias("n_a"), F.col("l.shared").alias("s_a"), F.col("l.comp").alias("c_a")))
-    reach = within_reach(F.col("n"), F.col("shared"), F.col("n_a"), F.col("s_a"), percent)
-    stars = dealt.join(typical, "k").filter((F.col("comp") != F.col("c_a")) & reach).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-    edges = edges.union(confirmed(stage(estimated(stars, nodes, percent)), items, percent))
-    labels = components(edges)
-
-    # and all pairs between components that are left
-    pairs = stage(estimated(mixed_buckets(some, labels, percent), nodes, percent))
-    if pairs.limit(1).count():
-        edges = edges.union(confirmed(pairs, items, percent))
-        labels = components(edges)
-    discard(members, leader, together, items, likely, first, some, typical, pairs)
+    sizes = stage(deal.groupBy("k").agg(F.count("*").alias("c")).filter("c > 1"))
+    shared = stage(deal.join(sizes, "k"))
+    weight = shared.groupBy("id").agg(F.sum("c").alias("weight"))
+    dealt = stage(shared.join(weight, "id").select("id", "n", "weight", "k"))
+    items = fetched(nodes.join(dealt.select("id").distinct(), "id", "left_semi"), rows)
+    discard(members, sizes, shared)
+
+    labels = joined_by(stage(star_pairs(dealt, None, F.col("weight"), percent)), None, items, percent)
+    front = front_items(dealt, labels, items, percent)
+    for i in range(ROUNDS):
+        labels = joined_by(stage(star_pairs(front, labels, F.xxhash64("id", F.lit(i)) if i else F.col("weight"), percent)), labels, items, percent)
+    labels = joined_by(front_pairs(front, labels, items, percent), labels, items, percent)
+    discard(dealt, items, front)
+
     of_node = with_components(nodes.select("key", "id", "none", "doc_id"), labels)
     least = of_node.groupBy("comp").agg(F.min(F.struct("none", "doc_id", "id")).alias("least"))
     joined = base.join(of_node.join(least, "comp").select("key", "least"), "key", "left")
