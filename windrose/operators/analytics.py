@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from .relational import expected_share
-from .resolve import checkpoint_dir
+from .relational import checkpoint_dir, expected_share
 
 # How hard a measurement is to change (1 easy, 8 not at all), and what a step of each class costs.
 FEASIBILITY = {

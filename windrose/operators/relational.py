@@ -3,9 +3,10 @@ DataFrame out; each says which key it shuffles on."""
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import C, latin_key
@@ -13,6 +14,16 @@ from ..functions.text import C, latin_key
 Cols = Sequence[str | Column]
 
 
+def checkpoint_dir(spark: SparkSession) -> None:
+    """Use the cluster's checkpoint folder; a temporary one only in local mode (tests)."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="windrose-"))
+
+
 def pick_per_key(df: DataFrame, key: Cols, order: Cols) -> DataFrame:
     """The first row of each key by order; null keys are a key."""
     w = Window.partitionBy(*key).orderBy(*order)
@@ -79,14 +90,51 @@ def sorted_list(value: str | Column, *order: str | Column) -> Column:
 
 
 def winsorised_mean(value: str | Column, share: float = 0.1, least: int = 4, digits: int = 2) -> Column:
-    """Aggregate: values beyond the index int(n * share) from either end take that place's value; few values: mean."""
+    """Aggregate: values beyond the index int(n * share) from either end take that place's value; few values: mean. It
+    holds a group's values in one row; winsorised_means() takes groups of any size."""
     a = F.array_sort(F.collect_list(value))
-    n = F.size(a)
-    k = F.floor(n * share).cast("int")
-    low, high = F.get(a, k), F.get(a, n - 1 - k)
-    clipped = F.transform(a, lambda x: F.greatest(F.least(x, high), low))
-    total = lambda arr: F.aggregate(arr, F.lit(0.0), lambda s, x: s + x)
-    return F.when(n == 0, None).otherwise(F.round(F.when(n < least, total(a)).otherwise(total(clipped)) / n, digits))
+    k = lambda a: F.when(F.size(a) < least, 0).otherwise(F.floor(F.size(a) * share)).cast("int")
+    cut = F.transform(F.array(a), lambda a: F.struct(a.alias("a"), F.get(a, k(a)).alias("low"), F.get(a, F.size(a) - 1 - k(a)).alias("high")))
+    mean = F.transform(cut, lambda x: F.aggregate(x["a"], F.lit(0.0), lambda s, v: s + F.greatest(F.least(v, x["high"]), x["low"])) / F.size(x["a"]))
+    return F.round(F.get(mean, 0), digits)
+
+
+def dealt_by_range(df: DataFrame, *order: Column) -> DataFrame:
+    """df by ranges of the order, with each row's partition in _p. Written, so that counts by partition and the rows
+    themselves see the same partitions, after a lost executor too."""
+    checkpoint_dir(df.sparkSession)
+    return df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).checkpoint()
+
+
+def running(df: DataFrame, group: Sequence[str], order: str, weight: str) -> DataFrame:
+    """Adds before, the sum of weight over the group's rows that come first by order (no two may be equal in group and
+    order), and whole, the group's. Null groups are a group. No task sorts a whole group."""
+    dealt = dealt_by_range(df, *[F.col(g).asc_nulls_first() for g in group], F.col(order).asc_nulls_first())
+    names = [f"_g{i}" for i in range(len(group))]
+    per = dealt.groupBy(*[F.col(g).alias(n) for g, n in zip(group, names, strict=True)], F.col("_p").alias("_q")).agg(F.sum(weight).alias("_s"))
+    w = Window.partitionBy(*names)
+    per = per.withColumn("_first", F.sum("_s").over(w.orderBy("_q")) - F.col("_s")).withColumn("whole", F.sum("_s").over(w))
+    same = F.col("_p") == F.col("_q")
+    for g, n in zip(group, names, strict=True):
+        same = same & F.col(g).eqNullSafe(F.col(n))
+    own = F.sum(weight).over(Window.partitionBy(*group, "_p").orderBy(F.col(order).asc_nulls_first())) - F.col(weight)
+    return dealt.withColumn("_own", own).join(per, same).withColumn("before", F.col("_first") + F.col("_own")).drop("_p", "_q", "_s", "_first", "_own", *names)
+
+
+def winsorised_means(df: DataFrame, group: str, values: Sequence[str], share: float = 0.1, least: int = 4, digits: int = 2) -> DataFrame:
+    """A row a group with the winsorised mean of each column's values: values beyond the index int(n * share) from either
+    end take that place's value; few values: mean. Counts by value, whose running sums give the two places."""
+    long = df.select(F.col(group).alias("g"), F.explode(F.array(*[F.struct(F.lit(v).alias("c"), F.col(v).cast("double").alias("v")) for v in values])).alias("x")).select("g", "x.*")
+    counts = running(long.filter("v IS NOT NULL").groupBy("g", "c", "v").agg(F.count("*").alias("n")), ["g", "c"], "v", "n")
+    k = F.when(F.col("whole") < least, 0).otherwise(F.floor(F.col("whole") * share))
+    at = lambda i: F.max(F.when((F.col("before") <= i) & (i < F.col("before") + F.col("n")), F.col("v")))
+    cut = counts.groupBy(F.col("g").alias("h"), F.col("c").alias("d")).agg(at(k).alias("low"), at(F.col("whole") - 1 - k).alias("high"))
+    held = counts.join(cut, F.col("g").eqNullSafe(F.col("h")) & (F.col("c") == F.col("d")))
+    clipped = F.greatest(F.least("v", "high"), "low").cast("decimal(28,8)") * F.col("n")  # exact, whatever the order of the sum
+    of = lambda v, x: F.sum(F.when(F.col("c") == v, x)).cast("double")
+    wide = held.groupBy("g").agg(*[F.round(of(v, clipped) / of(v, F.col("n")), digits).alias(f"_m{i}") for i, v in enumerate(values)])
+    groups = df.select(F.col(group).alias("_g")).distinct()
+    return groups.join(wide, F.col("_g").eqNullSafe(F.col("g")), "left").select(F.col("_g").alias(group), *[F.col(f"_m{i}").alias(v) for i, v in enumerate(values)])
 
 
 def modal_value(df: DataFrame, key: str, value: str, most_distinct: int = 5) -> DataFrame:

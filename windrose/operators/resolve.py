@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ambiguous_sail, normalize_name, sail_tokens, trigram_similarity, trigrams
-from .relational import pick_per_key
+from .relational import checkpoint_dir, pick_per_key
 
 
 def cascade(results: DataFrame, rules: Sequence[tuple[str, DataFrame]], key: str = "result_id") -> DataFrame:
@@ -57,19 +56,20 @@ def certificate_match(certs: DataFrame, boats: DataFrame) -> DataFrame:
 
 def similar_pairs(left: DataFrame, right: DataFrame, a: str, b: str, least: float) -> DataFrame:
     """All pairs with a trigram similarity of at least `least`, blocked on the trigrams that any such pair must share:
-    of a set of n, ordered by rarity, the first n - ceil(least * n) + 1."""
-    tag = lambda df, c: df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_g", trigrams(c)).filter(F.size("_g") > 0)
+    of a set of n, ordered by rarity, the first n - ceil(least * n) + 1. Equal strings are compared once."""
+    tag = lambda df, c: df.select(F.col(c).alias("_v")).filter("_v IS NOT NULL").distinct().withColumn("_g", trigrams("_v")).filter(F.size("_g") > 0)
     x, y = tag(left, a), tag(right, b)
     freq = x.select(F.explode("_g").alias("g")).union(y.select(F.explode("_g").alias("g"))).groupBy("g").agg(F.count("*").alias("f"))
 
     def prefixes(df: DataFrame, name: str) -> DataFrame:
-        each = df.select("_id", F.size("_g").alias("n"), F.explode("_g").alias("g")).join(freq, "g")
-        r = F.row_number().over(Window.partitionBy("_id").orderBy("f", "g"))
-        return each.withColumn("r", r).filter(F.col("r") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select(F.col("_id").alias(name), "g")
+        each = df.select("_v", F.size("_g").alias("n"), F.explode("_g").alias("g")).join(freq, "g")
+        r = F.row_number().over(Window.partitionBy("_v").orderBy("f", "g"))
+        return each.withColumn("r", r).filter(F.col("r") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select(F.col("_v").alias(name), "g")
 
     pairs = prefixes(x, "_l").join(prefixes(y, "_r"), "g").select("_l", "_r").distinct()
-    both = pairs.join(x.drop("_g").withColumnRenamed("_id", "_l"), "_l").join(y.drop("_g").withColumnRenamed("_id", "_r"), "_r").drop("_l", "_r")
-    return both.withColumn("similarity", trigram_similarity(a, b)).filter(F.col("similarity") >= least)
+    close = pairs.withColumn("similarity", trigram_similarity("_l", "_r")).filter(F.col("similarity") >= least)
+    both = left.withColumn("_l", F.col(a)).join(close, "_l").drop("_l")
+    return both.join(right.withColumn("_r", F.col(b)), "_r").drop("_r")
 
 
 def fuzzy_search(boats: DataFrame, query: str, limit: int = 20) -> DataFrame:
@@ -89,9 +89,11 @@ def suggestions(boats: DataFrame, query: str, limit: int = 5) -> DataFrame:
 
 
 def duplicate_clusters(df: DataFrame, key: Sequence[Column], id_col: str) -> DataFrame:
-    """Groups of two and more rows with an equal, non-empty key: size, ids in order."""
+    """Groups of two and more rows with an equal, non-empty key: size, ids in order; a group's ids are its result,
+    one row. The key is worked out once a row: what stands behind the explode isn't pushed below it."""
     names = [f"k{i}" for i in range(len(key))]
-    keyed = df.select(id_col, *[k.alias(n) for k, n in zip(key, names, strict=True)])
+    packed = F.explode(F.array(F.struct(*[k.alias(n) for k, n in zip(key, names, strict=True)])))
+    keyed = df.select(id_col, packed.alias("_k")).select(id_col, "_k.*")
     for n in names:
         keyed = keyed.filter(F.col(n).isNotNull() & (F.col(n).cast("string") != ""))
     return keyed.groupBy(*names).agg(F.count("*").alias("size"), F.array_sort(F.collect_list(id_col)).alias("ids")).filter("size > 1")
@@ -113,15 +115,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             return labels
 
 
-def checkpoint_dir(spark) -> None:
-    """Use the cluster's checkpoint folder; a temporary one only where none is named (tests)."""
-    import tempfile
-
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"{tempfile.gettempdir()}/windrose-{uuid.uuid4().hex}")
-
-
 def token_groups(results: DataFrame, sail: str = "sail", key: str = "result_id") -> DataFrame:
     """Rows joined by shared tokens, over any number of steps, with a group number: unlike a one-pass grouping, a row
     that bridges two groups merges them, whatever the order of the rows."""

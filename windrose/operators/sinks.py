@@ -5,33 +5,41 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .relational import latest_per_key, upsert
+from .relational import dealt_by_range, latest_per_key, upsert
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    spark = df.sparkSession
-    new = f"{path.rstrip('/')}__new"
-    df.write.mode("overwrite").parquet(new)
+    """The new table is written beside the old one, which is put aside before the new one takes its place and deleted
+    after; whatever fails, the old one is under path or under path__old."""
+    spark, bare = df.sparkSession, path.rstrip("/")
+    df.write.mode("overwrite").parquet(f"{bare}__new")
     p = spark._jvm.org.apache.hadoop.fs.Path
-    fs = p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(p(path), True)
-    fs.rename(p(new), p(path))
+    old, new, at = p(f"{bare}__old"), p(f"{bare}__new"), p(bare)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    had = fs.exists(at)
+    if had:
+        fs.delete(old, True)
+        if not fs.rename(at, old):
+            raise OSError(f"could not put {path} aside")
+    if not fs.rename(new, at):
+        if had:
+            fs.rename(old, at)
+        raise OSError(f"could not put the new table at {path}")
+    fs.delete(old, True)
 
 
 def with_ids(df: DataFrame, id_col: str, start: int, order: Sequence[str]) -> DataFrame:
-    """Consecutive ids after start for rows without one, by order. Only the order columns and a rank pass through the
-    window, in buckets with offsets, so no single task sorts everything."""
-    from pyspark.sql import Window
-
+    """Consecutive ids after start for rows without one, by order, from ranges of the order with offsets: no task sorts
+    everything, and the ranges are written, so that a rerun task gives the same ids."""
     have, need = df.filter(F.col(id_col).isNotNull()), df.filter(F.col(id_col).isNull())
-    need = need.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    counts = need.groupBy("_p").agg(F.count("*").alias("_n"))
-    first = counts.withColumn("_first", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    need = dealt_by_range(need, *[F.col(c).asc_nulls_first() for c in order])
+    counts = need.groupBy(F.col("_p").alias("_q")).agg(F.count("*").alias("_n"))
+    first = counts.select("_q", (F.sum("_n").over(Window.orderBy("_q")) - F.col("_n")).alias("_first"))  # a row a range
     own = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    out = need.withColumn("_own", own).join(first, "_p").withColumn(id_col, (F.lit(start) + F.col("_first") + F.col("_own")).cast(df.schema[id_col].dataType))
+    out = need.withColumn("_own", own).join(first, F.col("_p") == F.col("_q")).withColumn(id_col, (F.lit(start) + F.col("_first") + F.col("_own")).cast(df.schema[id_col].dataType))
     return have.unionByName(out.select(*df.columns))
 
 

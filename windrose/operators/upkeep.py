@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import country_from_sail, normalize_name, sail_tokens
-from .relational import winsorised_mean
+from .relational import winsorised_means
 from .resolve import token_groups
 
 YEARS_A, YEARS_B, LARGE_CLUSTER = 2, 5, 6  # spread of build years for tiers A and B; rows of a large cluster
@@ -106,7 +106,7 @@ SANE = {"loa": (2, 50), "beam": (0.5, 12), "draft": (0.1, 8), "displacement": (1
 def derived_design_values(samples: DataFrame, texts: Sequence[str] = ("designer", "builder"), numbers: Sequence[str] = ("loa", "beam", "draft", "displacement")) -> DataFrame:
     """Per design: modal texts, the modal year where at most 30 % disagree, winsorised means of sane numbers."""
     ok = {c: F.when((F.col(c) > lo) & (F.col(c) < hi), F.col(c)) for c, (lo, hi) in SANE.items()}
-    means = samples.groupBy("design").agg(*[winsorised_mean(ok[c]).alias(c) for c in numbers])
+    means = winsorised_means(samples.select("design", *[ok[c].alias(c) for c in numbers]), "design", numbers)
     out = means
     for c in texts:
         per = samples.filter(F.trim(F.coalesce(c, F.lit(""))) != "").groupBy("design", F.trim(c).alias("v")).agg(F.count("*").alias("n"))

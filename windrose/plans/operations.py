@@ -118,7 +118,7 @@ def latest_non_empty(spark, d):
 
 @query("""WITH g AS (SELECT p_brand, list_sort(list(p_retailprice)) AS a FROM part GROUP BY 1) SELECT p_brand, round(list_sum(list_transform(a, lambda x: greatest(least(x, a[len(a) - CAST(floor(len(a) * 0.1) AS INTEGER)]), a[1 + CAST(floor(len(a) * 0.1) AS INTEGER)]))) / len(a), 2) AS mean FROM g""")
 def winsorised_price(spark, d):
-    return t(spark, d, "part").groupBy("p_brand").agg(rel.winsorised_mean("p_retailprice").alias("mean"))
+    return rel.winsorised_means(t(spark, d, "part").select("p_brand", F.col("p_retailprice").alias("mean")), "p_brand", ["mean"])
 
 
 @query("""WITH c AS (SELECT c_nationkey AS nation, c_mktsegment AS seg, count(*) AS n FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1, 2), k AS (SELECT nation, count(*) AS kinds FROM c GROUP BY 1)

@@ -29,13 +29,9 @@ def price_change_dates(spark, d):
 def rank_and_fleet(spark, d):
     last = rel.latest_per_key(orders(spark, d), "o_custkey", ["day", "o_orderkey"]).select("o_custkey", "o_totalprice")
     # ranks without one sort of everything in a task: counts by value, then running sums over the values
-    per = last.groupBy("o_totalprice").agg(F.count("*").alias("n"))
-    parts = per.repartitionByRange("o_totalprice").withColumn("p", F.spark_partition_id())
-    above = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, -1)
-    sums = parts.groupBy("p").agg(F.sum("n").alias("s")).withColumn("before", F.coalesce(F.sum("s").over(above), F.lit(0))).withColumn("fleet", F.sum("s").over(Window.partitionBy()))
-    own = F.coalesce(F.sum("n").over(Window.partitionBy("p").orderBy(F.desc("o_totalprice")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    place = parts.withColumn("own", own).join(sums, "p").select("o_totalprice", (F.col("before") + F.col("own") + 1).cast("int").alias("place"), "fleet")
-    return last.join(place, "o_totalprice").select("o_custkey", "place", "fleet")
+    per = last.groupBy((-F.col("o_totalprice")).alias("v")).agg(F.count("*").alias("n"))
+    place = rel.running(per, [], "v", "n").select("v", (F.col("before") + 1).cast("int").alias("place"), F.col("whole").alias("fleet"))
+    return last.join(place, -F.col("o_totalprice") == F.col("v")).select("o_custkey", "place", "fleet")
 
 
 @query(f"""WITH {RACES} SELECT race, boat, round(CASE WHEN count(rating) OVER (PARTITION BY race) >= 2 THEN rank() OVER (PARTITION BY race ORDER BY rating DESC) / count(rating) OVER (PARTITION BY race) END, 6) AS expected FROM r""")
