@@ -12,7 +12,6 @@ def check(df, capacity=2048):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     docs = {r.doc_id: np.array([*tok.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4") for r in df.collect()}
     pieces = packing.pack_documents(df).collect()
     by_doc, by_seq = {}, {}
@@ -41,7 +40,7 @@ def test_packs_all_ids(spark, monkeypatch):
     monkeypatch.setattr(packing, "SLICE_ROWS", 20)
     rng = np.random.default_rng(0)
     texts = [" ".join(rng.choice(["alpha", "béta", "of", "the", "thion"], int(n))) for n in rng.integers(0, 1500, 150)]
-    texts += [None, "", "<|endoftext|>", "x" * 30_000, " " * 5000, "word " * 9000, "tie"] + ["tie"] * 40
+    texts += [None, "", "<|endoftext|>", "a <|endoftext|><|endoftext|>b <|endoftext", "x" * 30_000, " " * 5000, "word " * 9000, "tie"] + ["tie"] * 40
     n, total = check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert n <= 1.05 * total / 2048 + 2
 

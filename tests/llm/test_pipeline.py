@@ -28,7 +28,7 @@ def test_stages(spark, tmp_path):
 
     from test_neardup import brute
 
-    groups = brute([(r.doc_id, r.text) for r in kept["language"]])
+    groups = brute([(r.doc_id, r.text) for r in kept["language"]], 80)
     assert {r.doc_id for r in kept["near_duplicates"]} == {i for i, (_, c) in groups.items() if i == c}
     assert {r.doc_id for r in kept["personal_data"]} == {r.doc_id for r in kept["near_duplicates"]}
     from windrose.llm import pii
@@ -64,6 +64,24 @@ def test_null_and_repeated_ids_stay(spark):
     assert sorted((r.doc_id or 0, r.text) for r in drawn.collect()) == sorted((i or 0, t) for i, t in rows * 2 if t)
 
 
+def test_clashing_columns_and_very_long_texts(spark):
+    """Columns with the names that the operators give their own stay as they are; a text of 30,000 words goes through."""
+    from pyspark.sql import functions as F
+
+    docs = documents(spark).limit(40)
+    long = spark.createDataFrame([(77_777, "the long and the of " * 6_000, None, "src0", 120_000)], docs.schema)
+    docs = docs.unionByName(long)
+    for name in ("lang_pred", "score", "_row", "_part", "_repeats", "Key", "comp"):
+        docs = docs.withColumn(name, F.concat(F.lit(f"{name} of "), F.col("doc_id").cast("string")))
+    d = docs
+    for name, step in cp.STAGES:
+        d = stage(step(spark, d, ""))
+        if name != "packing":
+            assert d.columns == docs.columns
+            assert all(r[c] == f"{c} of {r.doc_id}" for r in d.collect() for c in docs.columns[5:])
+    assert d.filter("doc_id = 77777").count()
+
+
 def test_empty_table(spark):
     docs = documents(spark).limit(0)
     for name, step in cp.STAGES:

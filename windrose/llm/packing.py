@@ -7,12 +7,14 @@ new ones until none lowers the total by more than GAP. Pattern counts are rounde
 one by one by bounded knapsacks, and the rests, ranked within their class, take the places of the patterns in order.
 
 Defined results: a null or empty text is the end token alone; repeated rows are packed each; an empty table gives no
-rows; other columns are ignored. Control words of the vocabulary inside a text are ordinary text.
+rows; other columns are ignored. Control words of the vocabulary inside a text get their own ids, as the tokenizer file
+gives them; lone halves of surrogate pairs can't occur in a Spark string.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import frame, stage, table
+from .common import discard, frame, portions, stage, table
 
 CAPACITY, END, GRAIN, GAP, SMOOTH, MAX_ROUNDS = 2048, 1, 8, 5e-4, 0.7, 3000
 SLICE_ROWS = 2_000
@@ -29,8 +31,9 @@ VOCABULARY = "byte_bpe_50k"
 
 
 class Encoder:
-    """Ids of the public byte-level vocabulary. The rank file holds the same vocabulary as the tokenizer file and is
-    read faster; texts that its regular expression gives up on go through the tokenizer file."""
+    """Ids as the tokenizer file gives them, control words of the vocabulary included. The rank file holds the same
+    vocabulary and is read several times faster; a text that its library's regular expression gives up on (very long runs
+    of one kind of characters) goes through the tokenizer file itself. The ids are the same either way."""
 
     def __init__(self, vocabulary: str = VOCABULARY):
         import public_tokenizers as public
@@ -38,20 +41,21 @@ class Encoder:
 
         with open(public.path(f"{vocabulary}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        self.fast = tiktoken.Encoding(vocabulary, pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.path, self.slow = public.path(f"{vocabulary}.json"), None
+        with open(self.path, encoding="utf-8") as f:
+            special = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+        self.fast = tiktoken.Encoding(vocabulary, pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def __call__(self, text: str) -> np.ndarray:
         try:
-            return np.asarray(self.fast.encode_ordinary(text), dtype="<u4")
+            return np.asarray(self.fast.encode(text, allowed_special="all"), dtype="<u4")
         except (KeyboardInterrupt, SystemExit):
             raise
-        except BaseException:  # the library's panic when the pattern gives up on very long runs of one kind
+        except BaseException:  # the library's panic when the pattern gives up
             if self.slow is None:
                 from tokenizers import Tokenizer
 
                 self.slow = Tokenizer.from_file(self.path)
-                self.slow.encode_special_tokens = True
             return np.asarray(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
@@ -62,7 +66,7 @@ def cut(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     def pieces(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder()
-        for batch in it:
+        for batch in portions(it, 1):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), frame(batch.column(1)), strict=True):
                 ids = np.append(encode(text), np.uint32(END)).astype("<u4")

@@ -2,14 +2,18 @@
 
 The base patterns (email, ip, card, phone) are matched over the whole text, leftmost and without overlap per kind. The
 model learns from windows around their spans, as they stand and rewritten as people write them when a pattern no longer
-matches (dotted cards, phones without a plus, "(at)" addresses), and from windows with digits that hold no span. It
-is fitted in numpy by Adam on the driver from at most SAMPLE documents: a documented bound of the fit only.
-
-At prediction every kind needs a digit or an at sign, so a window of WINDOW characters is read only if it holds one;
-windows follow each other at half their width, so any span up to that width stands whole in one. All windows of a text
-are decoded by Viterbi and reconciled together: spans cut off at a window's inner edge are left to its neighbour, equal
-spans count once, spans that overlap a base span or fail their kind's test (digits, Luhn, parts up to 255) go, and of
-the rest the set without overlaps with the largest summed margin is kept.
+matches (dotted cards, phones without a plus, "(at)" and "dot" addresses), and from windows that hold no span. It is
+fitted in numpy by Adam on the driver. The bound of the fit, and of nothing else: it sees at most SNIPPETS surroundings
+of spans and as many others, chosen by a seeded hash among those of all documents whose hash falls to a sample of about
+SAMPLE documents.
+
+At prediction a window of WINDOW characters is read where it holds a mark that every kind needs: a digit, an at sign or
+a spelled one. Windows follow each other at half their width. Where windows overlap, their tag scores are averaged, more
+weight going to the one that sees more on either side, so each run of windows is one sequence, which Viterbi decodes as
+a whole: a span of any length is found as one. Spans take in the rest of the runs of local-part characters or digits
+that they end in. Those that overlap a base span or fail their kind's test (form, digits,
+Luhn, parts up to 255) go, and of the rest the set without overlaps with the largest summed margin is kept. The tests of
+form are wide, but the model alone doesn't decide: a span must be one that a person could read as its kind.
 
 Defined results: null or empty text has no spans; very long texts are read whole; repeated rows get equal results; an
 empty table gives no rows; other columns are ignored. Without any base span in the sample no spans are added.
@@ -26,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frame, sample_ids, table
+from .common import frame, portions, table
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE, WINDOW, HIDDEN, EMBED, STEPS, BATCH, RATE, SEED = 3000, 96, 16, 12, 220, 96, 0.02, 5
-GATE = re.compile(r"[0-9@]|\(at\)")
+SAMPLE, SNIPPETS, WINDOW, HIDDEN, EMBED, STEPS, BATCH, RATE, SEED, REWRITES = 6000, 1500, 96, 16, 12, 320, 96, 0.02, 5, 3
+AT = r"(?:@|[\[(]\x20?at\x20?[\])]|\x20at\x20)"
+DOT = r"(?:\.|[\[(]\x20?dot\x20?[\])]|\x20dot\x20)"
+GATE = re.compile(r"[0-9@]|[\[(]\x20?at\x20?[\])]|\x20at\x20(?=[A-Za-z0-9-]+(?:\x20dot\x20|[\[(]\x20?dot))")
 MIN_MARGIN = 2.0  # of the model's score with the span over that without it, for each span
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -216,8 +222,9 @@ def train(windows: np.ndarray, tags: np.ndarray, steps: int = STEPS) -> dict:
     rng = np.random.default_rng(SEED)
     p = init(rng)
     m, v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
-    for step in range(1, steps + 1):
-        rows = rng.integers(0, len(windows), min(BATCH, len(windows)))
+    marked = np.flatnonzero((tags > 0).any(1))
+    for step in range(1, steps + 1):  # half of a batch from windows with spans
+        rows = np.concatenate([rng.choice(marked, BATCH // 2), rng.integers(0, len(windows), BATCH - BATCH // 2)])
         c, y = windows[rows], tags[rows].T
         e, (x, h, sf, sb) = emissions(p, c, keep=True)
         _, de, dT = crf_gradient(e, p["T"], y)
@@ -241,7 +248,12 @@ def rewrite(kind: int, s: str, rng: np.random.Generator) -> str:
     """A span as it might be written when its base pattern no longer matches."""
     way = int(rng.integers(0, 3))
     if kind == 0:
-        return s.replace("@", ("@ ", " @ ", "(at)")[way])
+        if rng.integers(0, 2):  # names of other lengths
+            s = "".join(chr(97 + i) for i in rng.integers(0, 26, int(rng.integers(1, 12)))) + s
+        if rng.integers(0, 2):
+            return s.replace("@", ("@ ", " @ ", "(at)")[way])
+        local, _, domain = s.partition("@")
+        return local + (" at ", " [at] ", "(at)")[way] + domain.replace(".", (" dot ", "[dot]", "(dot)")[way])
     if kind == 1:
         return s.replace(".", (" . ", "[.]", ". ")[way])
     d = digits_of(s)
@@ -271,11 +283,12 @@ def examples(texts: list[str], rng: np.random.Generator) -> tuple[np.ndarray, np
         spans = base_spans(text)
         for s, e, k in spans:
             add(text, spans, (s + e) // 2)
-            new = rewrite(k, text[s:e], rng)
-            near = text[max(0, s - WINDOW) : s] + new + text[e : e + WINDOW]
-            start = min(s, WINDOW)
-            shifted = [(start, start + len(new), k)] + [x for x in base_spans(near) if x[1] <= start or x[0] >= start + len(new)]
-            add(near, shifted, start + len(new) // 2)
+            for _ in range(REWRITES):
+                new = rewrite(k, text[s:e], rng)
+                near = text[max(0, s - WINDOW) : s] + new + text[e : e + WINDOW]
+                start = min(s, WINDOW)
+                shifted = [(start, start + len(new), k)] + [x for x in base_spans(near) if x[1] <= start or x[0] >= start + len(new)]
+                add(near, shifted, start + len(new) // 2)
         quiet = [m.start() for m in GATE.finditer(text) if not any(s <= m.start() < e for s, e, _ in spans)]
         for i in quiet[:: max(1, len(quiet) // 3)][:3]:
             add(text, spans, i)
@@ -288,26 +301,44 @@ def examples(texts: list[str], rng: np.random.Generator) -> tuple[np.ndarray, np
     return np.array(windows), np.array(tags)
 
 
+def snippets(text: str) -> list[tuple[str, bool]]:
+    """What surrounds the spans of a text, spans close to each other together, and a window around up to three marks and
+    one other place outside of them: (text, whether it holds a span)."""
+    out, joint = [], []
+    spans = base_spans(text)
+    for s, e, _ in spans:
+        lo, hi = max(0, s - 2 * WINDOW), min(len(text), e + 2 * WINDOW)
+        if joint and lo <= joint[-1][1] and hi - joint[-1][0] < 8 * WINDOW:
+            joint[-1][1] = max(hi, joint[-1][1])
+        else:
+            joint.append([lo, hi])
+    out += [(text[lo:hi], True) for lo, hi in joint]
+    quiet = [m.start() for m in GATE.finditer(text)]
+    quiet = [i for i in quiet[:: max(1, len(quiet) // 6)] if not any(s - WINDOW <= i < e + WINDOW for s, e, _ in spans)][:3]
+    middle = len(text) // 2
+    if not any(s - WINDOW <= middle < e + WINDOW for s, e, _ in spans):
+        quiet.append(middle)
+    return out + [(text[max(0, i - 2 * WINDOW) : i + 2 * WINDOW], False) for i in quiet]
+
+
 def fit(docs: DataFrame) -> dict | None:
-    ids = sample_ids(docs.select("doc_id"), "doc_id", SAMPLE).distinct()
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # SAMPLE ids
+    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
+    chance = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) / 1_000_000
+    n = rows.count()
 
     def cutouts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            out = []
-            for text in frame(b.column(0)):
-                spans = base_spans(text)
-                s = spans[0][0] if spans else 0
-                out.append(text[max(0, s - 2 * WINDOW) : s + 4 * WINDOW])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["text"])
+        for b in portions(it, 0):
+            found = [x for text in frame(b.column(0)) for x in snippets(text)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.bool_())], names=["text", "rich"])
 
-    texts = sorted(r["text"] for r in rows.select("text").mapInArrow(cutouts, "text string").collect())  # a few hundred characters each
+    cut = rows.filter(chance * n < SAMPLE).select("text").mapInArrow(cutouts, "text string, rich boolean")
+    first = lambda rich: sorted(r["text"] for r in cut.filter("rich" if rich else "not rich").orderBy(F.xxhash64("text", F.lit(17)), "text").limit(SNIPPETS).collect())
+    texts = first(True)
     rng = np.random.default_rng(SEED)
     rich = [t for t in texts if base_spans(t)]
     if not rich:
         return None
-    poor = [t for t in texts if t not in set(rich)]
-    return train(*examples(rich + poor[: len(rich)], rng))
+    return train(*examples(rich + first(False), rng))
 
 
 # --- prediction ------------------------------------------------------------------------------------------------------
@@ -337,41 +368,106 @@ def best_set(spans: list[tuple[int, int, int, float]]) -> list[tuple[int, int, i
     return out[::-1]
 
 
+def runs_of(starts: list[int]) -> list[list[int]]:
+    """Windows that overlap, one after another."""
+    out: list[list[int]] = []
+    for s in starts:
+        if out and s - out[-1][-1] < WINDOW:
+            out[-1].append(s)
+        else:
+            out.append([s])
+    return out
+
+
+SIGHT = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)[:, None]
+
+
+def tag_scores(texts: list[str], p: dict) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(text, start, scores by character and tag) of every run of windows."""
+    runs = [(i, run) for i, t in enumerate(texts) for run in runs_of(window_starts(t))]
+    at = 0
+    while at < len(runs):
+        part, n = [], 0
+        while at < len(runs) and (not part or n + len(runs[at][1]) <= 2048):
+            part.append(runs[at])
+            n += len(runs[at][1])
+            at += 1
+        c = np.zeros((n, WINDOW), np.int16)
+        row = 0
+        for i, run in part:
+            for s in run:
+                own = codes(texts[i][s : s + WINDOW])
+                c[row, : len(own)] = own
+                row += 1
+        e = np.concatenate([emissions(p, c[k : k + 2048])[0].transpose(1, 0, 2) for k in range(0, n, 2048)]) * SIGHT
+        row = 0
+        for i, run in part:
+            size = min(run[-1] + WINDOW, len(texts[i])) - run[0]
+            total, weight = np.zeros((run[-1] + WINDOW - run[0], TAGS), np.float32), np.zeros((run[-1] + WINDOW - run[0], 1), np.float32)
+            for s in run:
+                total[s - run[0] : s - run[0] + WINDOW] += e[row]
+                weight[s - run[0] : s - run[0] + WINDOW] += SIGHT
+                row += 1
+            yield i, run[0], total[:size] / weight[:size]
+
+
+DIGITS = frozenset("0123456789")
+
+
+def whole_runs(text: str, s: int, e: int, kind: int) -> tuple[int, int]:
+    """The span with what belongs to the runs of characters that its ends lie in: an address doesn't begin within its
+    local part, nor a number within its digits."""
+    first, last = (LOCAL_CHARS, LOCAL_CHARS - {".", "_", "%", "+"}) if kind == 0 else (DIGITS, DIGITS)
+    if s < e and text[s] in first:
+        while s > 0 and text[s - 1] in first:
+            s -= 1
+    if s < e and text[e - 1] in last:
+        while e < len(text) and text[e] in last:
+            e += 1
+    return s, e
+
+
 def added_spans(texts: list[str], base: list[list], p: dict) -> list[list[tuple[int, int, int]]]:
-    where = [(i, s) for i, t in enumerate(texts) for s in window_starts(t)]
     found: list[dict] = [{} for _ in texts]
-    for at in range(0, len(where), 2048):
-        part = where[at : at + 2048]
-        c = np.zeros((len(part), WINDOW), np.int16)
-        for row, (i, s) in enumerate(part):
-            own = codes(texts[i][s : s + WINDOW])
-            c[row, : len(own)] = own
-        e, _ = emissions(p, c)
+    runs = sorted(tag_scores(texts, p), key=lambda x: len(x[2]))
+    at = 0
+    while at < len(runs):
+        end = at + 1  # runs of similar lengths, decoded together
+        while end < len(runs) and end - at < 512 and len(runs[end][2]) <= 1.25 * len(runs[at][2]) + 16:
+            end += 1
+        e = np.full((len(runs[end - 1][2]), end - at, TAGS), -1e6, np.float32)
+        e[:, :, 0] = 0
+        for row, (_, _, x) in enumerate(runs[at:end]):
+            e[: len(x), row] = x
         path = viterbi(e, p["T"]).T
-        over = e.transpose(1, 0, 2)
         for row in np.flatnonzero((path > 0).any(1)):
-            i, s = part[row]
+            i, s, x = runs[at + row]
             y, pos = path[row], 0
-            while pos < WINDOW:
+            while pos < len(x):
                 if y[pos] == 0:
                     pos += 1
                     continue
-                kind, end = (y[pos] - 1) // 2, pos + 1
-                while end < WINDOW and y[end] == 2 + 2 * kind:
-                    end += 1
-                margin = float((over[row, np.arange(pos, end), y[pos:end]] - over[row, pos:end, 0]).sum())
-                cut_off = (pos == 0 and s > 0) or (end == WINDOW and s + WINDOW < len(texts[i]))
-                if not cut_off and margin >= MIN_MARGIN:
-                    key = (s + pos, s + end, int(kind))
+                kind, stop = (y[pos] - 1) // 2, pos + 1
+                while stop < len(x) and y[stop] == 2 + 2 * kind:
+                    stop += 1
+                margin = float((x[np.arange(pos, stop), y[pos:stop]] - x[pos:stop, 0]).sum())
+                if margin >= MIN_MARGIN:
+                    key = (s + pos, s + stop, int(kind))
                     found[i][key] = max(margin, found[i].get(key, 0.0))
-                pos = end
+                pos = stop
+        at = end
     out = []
     for text, spans, f in zip(texts, base, found, strict=True):
         good = []
+        edge = np.zeros(len(text) + 1 if f else 0, np.int32)
+        if f and spans:
+            np.add.at(edge, [x for x, _, _ in spans], 1)
+            np.add.at(edge, [y for _, y, _ in spans], -1)
+        taken = np.concatenate([[0], (edge.cumsum() > 0).cumsum()])  # characters of base spans before each place
         for (s, e, k), margin in f.items():
             got = text[s:e]
-            s, e = s + len(got) - len(got.lstrip()), e - len(got) + len(got.rstrip())
-            if not any(s < y and x < e for x, y, _ in spans) and plausible(k, text[s:e]):
+            s, e = whole_runs(text, s + len(got) - len(got.lstrip()), e - len(got) + len(got.rstrip()), k)
+            if taken[s] == taken[e] and plausible(k, text[s:e]):
                 good.append((s, e, k, margin))
         out.append([(s, e, k) for s, e, k, _ in best_set(good)])
     return out
@@ -380,7 +476,7 @@ def added_spans(texts: list[str], base: list[list], p: dict) -> list[list[tuple[
 def plausible(kind: int, s: str) -> bool:
     d = digits_of(s)
     if kind == 0:
-        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+\s?(@|\(at\))\s?[A-Za-z0-9-]+(\s?\.\s?[A-Za-z0-9-]+)+", s))
+        return bool(re.fullmatch(rf"[A-Za-z0-9._%+-]+\s?{AT}\s?[A-Za-z0-9-]+(?:\s?{DOT}\s?[A-Za-z0-9-]+)+", s))
     if kind == 1:
         parts = re.split(r"\s*\[?\.\]?\s*", s)
         return len(parts) == 4 and all(x.isdigit() and len(x) <= 3 and int(x) <= 255 for x in parts)
@@ -397,7 +493,7 @@ def find(docs: DataFrame, model: dict | None) -> DataFrame:
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = sent.value
-        for b in it:
+        for b in portions(it, 1):
             texts = frame(b.column(1))
             base = [base_spans(t) for t in texts]
             more = added_spans(texts, base, p) if p else [[] for _ in texts]
@@ -415,7 +511,7 @@ def redact(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = sent.value
-        for b in it:
+        for b in portions(it, at):
             texts = frame(b.column(at))
             base = [base_spans(t) for t in texts]
             more = added_spans(texts, base, p) if p else [[] for _ in texts]
@@ -441,7 +537,7 @@ def digest(found: DataFrame) -> DataFrame:
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     is_kind = lambda k: lambda s: s["kind"] == k
     counts = [F.size(F.filter("spans", is_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import WORD, table
+from .common import WORD, portions, table
 
 #: Published limits by n-gram length, as shares of the characters in words.
 TOP_LIMIT = {2: 0.20, 3: 0.18, 4: 0.16}
@@ -121,7 +121,7 @@ def repetition(docs: DataFrame) -> DataFrame:
     """One row per document with its counts, shares and verdict."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in portions(it, 1):
             rows = [{"doc_id": i} | measure(t or "") for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .chat import OP1_SQL, op1_chat_format
 from .langid import op9_language_id
-from .mixing import op8_water_fill
+from .mixing import OP8_SQL, op8_water_fill
 from .neardup import op7_setsketch
 from .packing import op5_packing
 from .passages import op10_bwt_dedup
@@ -28,4 +28,4 @@ QUERIES = {
         op10_bwt_dedup,
     )
 }
-SQL = {"op1_chat_format": OP1_SQL, "op2_onebit_ann": OP2_SQL}
+SQL = {"op1_chat_format": OP1_SQL, "op2_onebit_ann": OP2_SQL, "op8_water_fill": OP8_SQL}

@@ -1,17 +1,20 @@
 """Toxic passages by maximum-scoring segment search.
 
-Tokens get log-odds of standing in a toxic rather than a clean document, from the documents that hold them. The odds have Dirichlet priors one inside the
-other: a word's prior is its six-letter beginning, whose prior is its five-letter one, down to three letters and the
+Tokens get log-odds of standing in a toxic rather than a clean document, from the documents that hold them. The odds
+have Dirichlet priors one inside the other: a word's prior is its six-letter beginning, whose prior is its five-letter one, down to three letters and the
 share of all tokens, so inflected and unseen words take their stem's odds. A linear scan over the tokens finds every
 maximal scoring segment. Segment scores are calibrated as extreme values: lambda from the scores of tokens in clean
 documents, K from the best segments of clean documents, which gives every segment a p-value that allows for the text's
 length; a document's score is a logistic function of its best p-value and of what its significant segments sum to.
 
-The odds are learned from one half of at most SAMPLE labelled documents and the calibration from the other half: a
-documented bound of the fit only.
+Bounds of the fit, and of nothing else: the odds are learned from one half of at most SAMPLE labelled documents and the
+calibration from the other half. Of the words and beginnings counted there, the model keeps those that are in LEAST
+documents, at least one of them toxic, or in CLEAN_LEAST clean ones, and of these the VOCABULARY most frequent; the others
+take their shorter beginning's odds.
 
 Defined results: null and empty texts have no tokens and get the score of a text without any segment; without labels
-of both classes every score is 0; repeated rows get the same score; an empty table gives no rows.
+of both classes every score is 0; repeated rows get the same score; very long texts are read whole; an empty table gives
+no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_of, sample_ids, stage, table
+from .common import bucket_of, discard, portions, sample_ids, stage, table
 
-SAMPLE, STEMS, PRIOR, SHIFT, CLIP, LEAST, SIGNIFICANT, CACHE = 24_000, (3, 4, 5, 6), 4.0, 0.7, 8.0, 3, 0.05, 400_000
+SAMPLE, VOCABULARY, STEMS, PRIOR, SHIFT, CLIP, LEAST, SIGNIFICANT, CACHE = 24_000, 500_000, (3, 4, 5, 6), 4.0, 0.7, 8.0, 3, 0.05, 200_000
+CLEAN_LEAST = 20  # documents that a word or beginning seen in clean ones only is in
 
 
 def clean(token: str) -> str:
@@ -107,7 +111,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> dict | None:
     per_word = words.groupBy("w").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     stems = F.array(*[F.when(F.length("w") > n, F.concat(F.lit(f"{n}:"), F.substring("w", 1, n))) for n in STEMS], F.concat(F.lit("w:"), "w"))
     per_key = per_word.select(F.explode(F.array_compact(stems)).alias("k"), "t", "c").groupBy("k").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    counts = per_key.filter((F.col("t") > 0) & (F.col("t") + F.col("c") >= LEAST) | (F.col("c") >= 20)).toPandas()
+    often = per_key.filter((F.col("t") > 0) & (F.col("t") + F.col("c") >= LEAST) | (F.col("c") >= CLEAN_LEAST))
+    counts = often.orderBy(F.desc(F.col("t") + F.col("c")), "k").limit(VOCABULARY).toPandas()
     whole = per_word.agg(F.sum("t"), F.sum("c")).first()
     if not whole[0] or not whole[1]:
         return None
@@ -118,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> dict | None:
 
     def measure(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
-        for b in it:
+        for b in portions(it, 0):
             out = []
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = scorer(text)
@@ -146,6 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> dict | None:
         model["K"] = float(np.exp(np.mean(model["lambda"] * best[ok] - np.log(docs_["n"][ok])) - np.euler_gamma))
     x = np.array([features_of(s, n, model) for s, n in zip(docs_["segments"], docs_["n"], strict=True)]).reshape(-1, 3)
     model["weights"] = logistic(design(x), docs_["toxic"].to_numpy(float))
+    discard(measured)
     return model
 
 
@@ -187,7 +193,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         scorer = Scorer(m) if m else None
-        for b in it:
+        for b in portions(it, 1):
             out = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if not m:
