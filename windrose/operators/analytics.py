@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from .relational import checkpoint_dir, expected_share
+from .relational import checkpoint_dir, expected_share, running
 
 # How hard a measurement is to change (1 easy, 8 not at all), and what a step of each class costs.
 FEASIBILITY = {
@@ -142,6 +142,41 @@ def class_models(df: DataFrame, group: str, target: str, features: Sequence[str]
     return folds.groupBy("grp", "fold").agg(*moments).groupBy("grp").applyInPandas(one, schema)
 
 
+# The step of a measurement that a coefficient is told for.
+SCALES = {"displacement": 100.0, "draft": 0.1, "lh": 0.1, "beam": 0.1, "p": 0.1, "e": 0.1, "j": 0.1, "hlu": 0.1, "hlp": 0.1, "muw": 0.1, "mhw": 0.1, "stl": 0.1, "sym_slu": 0.1, "sym_sf": 0.1}
+UNITS = {"displacement": "per 100kg", "headsails": "per sail", "spinnakers": "per sail", "crew": "per person", "dlr": "per unit"}
+
+
+def in_units(models: DataFrame) -> DataFrame:
+    """Adds effect, what a step of the feature moves the target by, and unit, the step in words."""
+    as_map = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+    scale = F.coalesce(F.try_element_at(as_map(SCALES), F.col("feature")), F.lit(1.0))
+    unit = F.coalesce(F.try_element_at(as_map(UNITS), F.col("feature")), F.when(scale == 0.1, "per 0.1m"), F.lit("per unit"))
+    return models.withColumn("effect", F.col("beta") * scale).withColumn("unit", unit)
+
+
+def chosen_models(full: DataFrame, short: DataFrame, group: str, target: str, full_features: Sequence[str], short_features: Sequence[str], order: str, least: int = 5) -> DataFrame:
+    """Of every group the model of the rows with full measurements (tier 'A') where there are enough of them and it
+    explains more than 0.3, else that of the short ones ('B'); groups of fewer rows get correlations ('C')."""
+    a = class_models(full, group, target, full_features, order, least).filter(F.col("tier").isin("A", "B") & (F.col("r2") > 0.3)).withColumn("tier", F.lit("A"))
+    b = class_models(short, group, target, short_features, order, least)
+    b = b.withColumn("tier", F.when(F.col("tier") == "A", "B").otherwise(F.col("tier")))
+    done = a.select(F.col("grp").alias("g")).distinct()
+    return a.unionByName(b.join(done, F.col("grp").eqNullSafe(F.col("g")), "left_anti"))
+
+
+def fleet_model(df: DataFrame, target: str, features: Sequence[str], order: str, least: int = 5) -> DataFrame:
+    """One model over all groups together (tier 'fleet'); nothing for fewer than least rows."""
+    m = class_models(df.withColumn("_fleet", F.lit("all")), "_fleet", target, features, order, least)
+    return m.filter(F.col("tier").isin("A", "B")).withColumn("tier", F.lit("fleet"))
+
+
+def model_sweep(models: DataFrame) -> DataFrame:
+    """A row a group, the best explained first: tier, n, r2, cv_r2 and the feature that weighs most."""
+    per = models.groupBy("grp").agg(F.first("tier").alias("tier"), F.max("n").alias("n"), F.max("r2").alias("r2"), F.max("cv_r2").alias("cv_r2"), F.min_by("feature", "rank").alias("top_feature"))
+    return per.orderBy(F.desc_nulls_last("r2"), "grp")
+
+
 def collinear_pairs(df: DataFrame, features: Sequence[str], limit: float = 0.9) -> DataFrame:
     """Pairs of features with |r| above the limit, by one aggregation."""
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
@@ -150,9 +185,9 @@ def collinear_pairs(df: DataFrame, features: Sequence[str], limit: float = 0.9)
     return row.filter("n >= 3").select(packed.alias("p")).select("p.*").filter(F.abs("r") > limit)
 
 
-def drift_stats(deltas: DataFrame, group: str, delta: str, cap: int = 20_000) -> DataFrame:
+def drift_stats(deltas: DataFrame, group: str, delta: str) -> DataFrame:
     """Per group: n, mean, median, sample deviation, Cohen's d, share decreased, and p-values of the t and Wilcoxon tests.
-    The t test comes from the aggregation; the signed ranks of groups above cap from a window, not from one task."""
+    The t test comes from the aggregation, the signed ranks from counts by size."""
     per = deltas.filter(F.col(delta).isNotNull()).groupBy(group).agg(
         F.count("*").alias("n"),
         F.avg(delta).alias("mean_drift"),
@@ -162,8 +197,7 @@ def drift_stats(deltas: DataFrame, group: str, delta: str, cap: int = 20_000) ->
     )
     nonzero = deltas.filter(F.col(delta).isNotNull() & (F.col(delta) != 0))
     ties = nonzero.groupBy(group, F.abs(delta).alias("size")).agg(F.count("*").alias("t"), F.count_if(F.col(delta) > 0).alias("up"))
-    upto = F.sum("t").over(Window.partitionBy(group).orderBy("size"))
-    ranked = ties.withColumn("rank", upto - (F.col("t") - 1) / 2)
+    ranked = running(ties, [group], "size", "t").withColumn("rank", F.col("before") + (F.col("t") + 1) / 2)
     sums = ranked.groupBy(F.col(group).alias("_g")).agg(F.sum(F.col("rank") * F.col("up")).alias("plus"), F.sum("t").alias("nz"), F.max("t").alias("most"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("tied"))
     joined = per.join(sums, F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")
     schema = f"{joined.select(group).schema.simpleString()[7:-1].replace(':', ' ')}, n long, mean_drift double, median_drift double, std_drift double, pct_decreased double, cohens_d double, p_ttest double, p_wilcoxon double"

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -98,3 +98,34 @@ def number_audit(texts: DataFrame, key: str, text: str, allowed: DataFrame, valu
     forms = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda d: F.array(F.round(F.col(value), 4), F.round(F.col(value) * F.pow(F.lit(10.0), d)) / F.pow(F.lit(10.0), d)))))
     ok = allowed.select(key, forms.alias("v")).select(key, F.explode(F.array("v", F.abs("v"))).alias("x")).distinct()
     return said.join(ok, [key, "x"], "left_anti")
+
+
+def health(tables: dict[str, tuple[DataFrame, str, int]], log: DataFrame, as_of: str) -> DataFrame:
+    """check, value and alert. tables: name -> (rows, day column, most days old); log: source, status, started_at. Age is
+    counted in whole days; failures count over a day, and running jobs are stuck after two hours."""
+    now = F.lit(as_of).cast("timestamp_ntz")
+    rows = None
+    for name, (df, day, most) in tables.items():
+        age = df.agg(F.date_diff(now.cast("date"), F.max(day).cast("date")).cast("long").alias("value"))
+        one = age.select(F.lit(f"{name} days").alias("check"), "value", F.coalesce(F.col("value") > most, F.lit(False)).alias("alert"))
+        rows = one if rows is None else rows.unionByName(one)
+    failed = F.count_if((F.col("status") == "failed") & (F.col("started_at") > now - F.make_dt_interval(hours=F.lit(24))))
+    stuck = F.count_if((F.col("status") == "running") & (F.col("started_at") < now - F.make_dt_interval(hours=F.lit(2))))
+    jobs = log.agg(failed.alias("f"), stuck.alias("s")).select(F.explode(F.array(F.struct(F.lit("failed in a day").alias("check"), F.col("f").alias("value")), F.struct(F.lit("stuck").alias("check"), F.col("s").alias("value")))).alias("x"))
+    jobs = jobs.select("x.*").withColumn("alert", F.col("value") > 0)
+    return jobs if rows is None else rows.unionByName(jobs)
+
+
+def name_diff(old: DataFrame, new: DataFrame, group: str, name: str, most: int = 25) -> DataFrame:
+    """Per group: how many old names the new ones hold too, the share, up to `most` missing and extra names in order, and
+    the percentage of old rows without a name."""
+    norm = lambda df: df.select(group, F.lower(F.regexp_replace(F.coalesce(name, F.lit("")), r"\s+", "")).alias("k"))
+    o, n = norm(old), norm(new)
+    both = o.filter("k <> ''").distinct().withColumn("o", F.lit(True)).join(n.filter("k <> ''").distinct().withColumn("n", F.lit(True)), [group, "k"], "full")
+    kind = F.when(F.col("n").isNull(), "missing").when(F.col("o").isNull(), "extra").otherwise("both")
+    both = both.withColumn("kind", kind).withColumn("r", F.row_number().over(Window.partitionBy(group, "kind").orderBy("k")))
+    first = lambda c: F.array_sort(F.collect_list(F.when((F.col("kind") == c) & (F.col("r") <= most), F.col("k")))).alias(c)
+    per = both.groupBy(group).agg(F.count("o").alias("named"), F.count_if(F.col("kind") == "both").alias("matched"), first("missing"), first("extra"))
+    hollow = o.groupBy(group).agg(F.floor((F.count("*") - F.countDistinct(F.nullif("k", F.lit("")))) * 100 / F.count("*")).alias("hollow_pct"))
+    rate = F.round(F.when(F.col("named") > 0, F.col("matched") / F.col("named")).otherwise(0.0), 3)
+    return per.withColumn("rate", rate).join(hollow, group, "left")

@@ -1,6 +1,6 @@
 """All registered queries of the library and their SQL."""
 
-from . import matching, operations, racing, read_side, upkeep  # noqa: F401  they register themselves
+from . import imports, matching, operations, racing, read_side, reports, upkeep  # noqa: F401  they register themselves
 from .base import ORACLES, QUERIES
 from .racing import supplier_rai
 

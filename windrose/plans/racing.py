@@ -160,10 +160,31 @@ def class_ridge(spark, d):
 query()(class_ridge)
 
 
-@query("""WITH c AS (SELECT count(*) AS n, corr(l_quantity, l_extendedprice) AS a, corr(l_quantity, l_discount) AS b, corr(l_extendedprice, l_discount) AS c FROM lineitem),
-p AS (SELECT 'l_quantity' AS a, 'l_extendedprice' AS b, a AS r, n FROM c UNION ALL SELECT 'l_quantity', 'l_discount', b, n FROM c UNION ALL SELECT 'l_extendedprice', 'l_discount', c, n FROM c) SELECT a, b, round(r, 6) AS r FROM p WHERE n >= 3 AND abs(r) > 0.001""")
+@query("""WITH p AS (SELECT p_brand || '-' || (p_partkey % 10) AS grp, p_size AS x, p_retailprice AS y FROM part), g AS (SELECT grp, count(*) AS n, avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, covar_pop(x, y) AS c, var_pop(y) AS vy, max(y) - min(y) AS spread FROM p GROUP BY 1),
+m AS (SELECT *, n * c / sx / (n + 0.01) AS w FROM g WHERE n BETWEEN 5 AND 14 AND sx > 0 AND spread >= 0.001) SELECT grp, n, round(w, 6) AS std_beta, round(w / sx, 6) AS beta, round((2 * w * n * c / sx - w * w * n) / (n * vy), 6) AS r2 FROM m""")
+def small_class_models(spark, d):
+    """Groups too small for cross-validation, by one feature: the closed form with the least penalty."""
+    p = t(spark, d, "part").select(F.concat_ws("-", "p_brand", F.col("p_partkey") % 10).alias("g"), "p_partkey", "p_size", "p_retailprice")
+    m = analytics.class_models(p, "g", "p_retailprice", ["p_size"], "p_partkey").filter("n BETWEEN 5 AND 14 AND tier IN ('A', 'B') AND std_beta <> 0")
+    return m.select("grp", "n", r6("std_beta").alias("std_beta"), r6("beta").alias("beta"), r6("r2").alias("r2"))
+
+
+def model_sweep(spark, d):
+    """Without SQL: the penalty is chosen by cross-validation."""
+    p = t(spark, d, "part").select("p_brand", "p_partkey", "p_size", F.when(F.col("p_partkey") % 3 > 0, F.col("p_partkey") % 17).alias("crew"), (F.col("p_retailprice") + F.col("p_size") * F.when(F.col("p_brand") > "Brand#3", 40).otherwise(0)).alias("y"))
+    m = analytics.chosen_models(p.filter("crew IS NOT NULL"), p, "p_brand", "y", ["p_size", "crew"], ["p_size"], "p_partkey")
+    u = analytics.in_units(m).select("grp", "effect", "unit", "rank").filter("rank = 1")
+    return analytics.model_sweep(m).join(u, "grp").select("grp", "tier", "n", r6("r2", 4).alias("r2"), "top_feature", r6("effect", 4).alias("effect"), "unit")
+
+
+query()(model_sweep)
+
+
+@query("""WITH l AS (SELECT l_quantity AS q, l_extendedprice AS e, l_discount AS d, -2 * l_quantity + l_discount * 20 AS t FROM lineitem), c AS (SELECT count(*) AS n, corr(q, e) AS qe, corr(q, d) AS qd, corr(q, t) AS qt, corr(e, d) AS ed, corr(e, t) AS et, corr(d, t) AS dt FROM l),
+p AS (SELECT n, unnest([('q', 'e', qe), ('q', 'd', qd), ('q', 't', qt), ('e', 'd', ed), ('e', 't', et), ('d', 't', dt)]) AS x FROM c) SELECT x[1] AS a, x[2] AS b, round(x[3], 6) AS r FROM p WHERE n >= 3 AND abs(x[3]) > 0.9""")
 def collinear_features(spark, d):
-    return analytics.collinear_pairs(t(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"], 0.001).withColumn("r", r6("r"))
+    x = t(spark, d, "lineitem").select(F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("e"), F.col("l_discount").alias("d"), (-2 * F.col("l_quantity") + F.col("l_discount") * 20).alias("t"))
+    return analytics.collinear_pairs(x, ["q", "e", "d", "t"]).withColumn("r", r6("r"))
 
 
 @query("""WITH p AS (SELECT p_partkey, p_brand, CASE WHEN p_partkey % 3 = 0 THEN p_size END AS a, CASE WHEN p_partkey % 3 <> 0 THEN p_retailprice END AS b FROM part), k AS (SELECT p_brand, count(a) / count(*) >= 0.5 AS ka, count(b) / count(*) >= 0.5 AS kb FROM p GROUP BY 1)
@@ -221,13 +242,13 @@ def performance_correlation(spark, d):
 
 
 @query("""WITH v AS (SELECT p_partkey AS boat, p_brand AS grp, f.feature, CAST(f.v AS DOUBLE) AS cur FROM part, LATERAL (SELECT 'crew' AS feature, p_size AS v UNION ALL SELECT 'draft', p_partkey % 13) f),
-m AS (SELECT grp, feature, avg(cur) AS mean FROM v GROUP BY 1, 2), x AS (SELECT boat, feature, (mean - cur) * CASE feature WHEN 'crew' THEN 0.001 ELSE -0.002 END AS delta, CASE feature WHEN 'crew' THEN 1 ELSE 7 END AS feas, CASE feature WHEN 'crew' THEN 1.0 ELSE 0.7 END AS ev FROM v JOIN m USING (grp, feature)),
-k AS (SELECT boat, feature, round(delta, 8) AS delta, CAST(row_number() OVER (PARTITION BY boat ORDER BY round(abs(delta) * (9 - feas) / 8 * ev, 12) DESC, feature) AS INTEGER) AS rank FROM x WHERE abs(delta) >= 0.0005) SELECT * FROM k""")
+m AS (SELECT grp, feature, CASE WHEN feature = 'draft' AND grp > 'Brand#3' THEN avg(cur) + 1 ELSE avg(cur) END AS mean FROM v GROUP BY 1, 2), x AS (SELECT boat, feature, (mean - cur) * CASE feature WHEN 'crew' THEN 0.001 ELSE -0.002 END AS delta, CASE feature WHEN 'crew' THEN 1 ELSE 7 END AS feas, CASE feature WHEN 'crew' THEN 1.0 ELSE 0.7 END AS ev FROM v JOIN m USING (grp, feature)),
+k AS (SELECT boat, feature, round(delta, 8) AS delta, round(abs(delta / 0.001) * 3.6, 1) AS seconds_per_hour, CAST(CASE feas WHEN 1 THEN 0 ELSE 25000 END AS DOUBLE) AS cost, CASE feas WHEN 1 THEN 999.0 ELSE round(round(abs(delta / 0.001) * 3.6, 1) / 25, 2) END AS "return", CAST(row_number() OVER (PARTITION BY boat ORDER BY round(abs(delta) * (9 - feas) / 8 * ev, 12) DESC, feature) AS INTEGER) AS rank FROM x WHERE abs(delta) >= 0.0005) SELECT * FROM k""")
 def ranked_recommendations(spark, d):
     p = t(spark, d, "part")
     each = F.explode(F.array(F.struct(F.lit("crew").alias("feature"), F.col("p_size").cast("double").alias("current")), F.struct(F.lit("draft").alias("feature"), (F.col("p_partkey") % 13).cast("double").alias("current"))))
     v = p.select(F.col("p_partkey").alias("boat"), F.col("p_brand").alias("grp"), each.alias("f")).select("boat", "grp", "f.*")
-    means = v.groupBy("grp", "feature").agg(F.avg("current").alias("mean")).withColumn("smart", F.lit(None).cast("double"))
+    means = v.groupBy("grp", "feature").agg(F.avg("current").alias("mean")).withColumn("smart", F.when((F.col("feature") == "draft") & (F.col("grp") > "Brand#3"), F.col("mean") + 1))
     crew = F.col("feature") == "crew"
     models = v.select("grp", "feature").distinct().select("grp", "feature", F.when(crew, 0.5).otherwise(-0.2).alias("std_beta"), F.when(crew, 0.001).otherwise(-0.002).alias("beta"), F.lit("A").alias("tier"))
-    return analytics.recommendations(v, models, means).select("boat", "feature", r6("delta", 8).alias("delta"), "rank")
+    return analytics.recommendations(v, models, means).select("boat", "feature", r6("delta", 8).alias("delta"), "seconds_per_hour", "cost", "return", "rank")

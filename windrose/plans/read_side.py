@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import quality, sinks
+from ..operators import matching, quality, sinks
 from ..operators import relational as rel
 from .base import LATEST, ORDERS, RACES, orders, query, r6, races, t
 
@@ -237,10 +237,12 @@ def unique_reverse_lookup(spark, d):
     return t(spark, d, "supplier").join(one, F.round("s_acctbal") == F.col("b")).select("s_suppkey", "c_custkey")
 
 
-@query("SELECT r_name, count(*) AS n FROM region JOIN part ON contains(lower(p_name), lower(substr(r_name, 1, 2))) GROUP BY 1")
+@query("""WITH p AS (SELECT DISTINCT upper(substr(p_name, 2, 3 + p_size % 4)) AS p FROM part WHERE length(substr(p_name, 2, 3 + p_size % 4)) >= 3), t AS (SELECT DISTINCT p_name AS t FROM part)
+SELECT p, count(*) AS n, min(t) AS first FROM p JOIN t ON contains(lower(t), lower(p)) GROUP BY 1""")
 def substring_join(spark, d):
-    regions = F.broadcast(t(spark, d, "region"))  # 5 rows by definition
-    return t(spark, d, "part").join(regions, F.lower("p_name").contains(F.lower(F.substring("r_name", 1, 2)))).groupBy("r_name").agg(F.count("*").alias("n"))
+    part = t(spark, d, "part")
+    patterns = part.select(F.upper(F.substring(F.col("p_name"), F.lit(2), 3 + F.col("p_size") % 4)).alias("p"))
+    return matching.contains_pairs(patterns, part.select(F.col("p_name").alias("t"))).groupBy("p").agg(F.count("*").alias("n"), F.min("t").alias("first"))
 
 
 @query("SELECT 'only_left' AS side, count(*) AS n FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O') UNION ALL SELECT 'only_right', count(*) FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'O' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")

@@ -112,6 +112,25 @@ def race_rows(payload: DataFrame, column: str) -> DataFrame:
     )
 
 
+LIST_SCHEMA = "array<struct<series:string,series_id:string,race_date:string,sail_no:string,boat_name:string,skipper:string,club:string,irc_tcc:string>>"
+
+
+def list_rows(payload: DataFrame, column: str) -> DataFrame:
+    """Result lists in JSON, an array of records, as a row a record; in these the field skipper holds the boat's name and
+    boat_name its hull number. Records without a name go."""
+    r = payload.withColumn("_r", F.explode(F.from_json(column, LIST_SCHEMA))).select(
+        *payload.columns,
+        F.coalesce("_r.series", F.lit("Unknown Series")).alias("event_name"),
+        flexible_date("_r.race_date").alias("event_date"),
+        F.trim(F.coalesce("_r.skipper", F.lit(""))).alias("boat_name"),
+        F.trim(F.coalesce("_r.sail_no", F.lit(""))).alias("sail_number"),
+        F.trim(F.coalesce("_r.boat_name", F.lit(""))).alias("hull_id"),
+        F.col("_r.club").alias("club"),
+        safe_number("_r.irc_tcc").alias("rating_value"),
+    )
+    return r.filter("boat_name <> ''")
+
+
 class _Tables(HTMLParser):
     """All tables of a page as lists of rows of cell texts, with their class and caption."""
 
