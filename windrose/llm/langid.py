@@ -208,16 +208,17 @@ def split_long(word: str) -> list[str]:
 def fit(docs: DataFrame, learn: Column, lang: str = "lang", vocabulary: str = "piece_bpe_32k.model") -> dict:
     """docs: text and language; learn: which rows may be used. The sample's words are counted on Spark."""
     rows = docs.filter(learn & F.col(lang).isNotNull() & F.col("text").isNotNull())
-    per = rows.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n"))
+    per = rows.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n")).collect()  # a row a language, as the model has a column each
+    if not per:
+        return {"langs": [], "pieces": (names := public_pieces(vocabulary)), "p": np.zeros((len(names) + 1, 0))}
+    size = F.element_at(F.create_map(*[F.lit(x) for r in per for x in (r["l"], r["n"])]), F.col(lang))
     chance = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1_000_000)) / 1_000_000
-    sample = rows.join(per, F.col(lang) == F.col("l")).filter(chance < F.lit(SAMPLE) / F.col("n"))
+    sample = rows.filter(chance < F.lit(SAMPLE) / size).withColumn("l", F.col(lang))
     word = F.explode(F.split("text", "[\\s\\p{Z}\\x1c-\\x1f\\x85]+"))
     letters_only = F.regexp_replace(F.lower("w"), "[^\\p{L}]", "")
     counted = sample.select("l", word.alias("w")).select("l", letters_only.alias("w")).filter("w <> ''").groupBy("l", "w").agg(F.count("*").alias("n")).toPandas()
     langs = sorted(counted["l"].unique())
     pieces = Pieces(names := public_pieces(vocabulary))
-    if not langs:
-        return {"langs": [], "pieces": names, "p": np.zeros((len(names) + 1, 0))}
     words: dict[str, int] = {}
     at, by, n = [], [], []
     for w, one, k in zip(counted["w"], counted["l"], counted["n"], strict=True):

@@ -29,7 +29,7 @@ from .common import WORD, numbered, portions, stage, table, unused
 WEIGHTS = (5.0, 2.0, 1.0)
 EXPAND, MAX_EPOCHS, SEED = 1.5, 2.0, 11
 WORDS = re.compile(WORD)
-SLICE_ROWS = 20_000  # documents of a source that one task orders
+SLICE_ROWS = 2_000  # documents of a source that one task orders
 
 
 def sizes(docs: DataFrame, number: list[str]) -> DataFrame:

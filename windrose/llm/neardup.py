@@ -14,12 +14,14 @@ the group and many the bands.
 Members of buckets that then still hold several components are searched exactly, so that no link depends on a leader. A
 pair above the threshold shares an item within both sets' first items in an order from rare to frequent, counted among
 these members; how many come first depends on both sizes, so items are dealt by classes of sizes. In a group of edited
-copies the first items are a copy's own edits, so copies that differ too much to link don't meet. Two more rounds of
-stars run over these items as buckets, the second with leaders drawn afresh; then all pairs between components that are
-left and share such an item are compared: items whose holders are all of one component are left out, and of the others
-the largest component's holders are only set against the rest. Before a pair is made, parities of the sets' items bound
-from below how many items only one of them holds. What is left to be tried grows with the square of a group only where
-many of its members lie just below the threshold; each such trial costs a few operations on 64-bit words.
+copies the first items are a copy's own edits, so copies that differ too much to link don't meet. Parities of the sets'
+items, a few 64-bit words a set, bound from below how many items only one of two sets holds; no pair is made that they
+rule out. Rounds of stars run over these items as buckets, with leaders drawn afresh: a member is paired with the leader
+whose parities are nearest, so whoever links with a fair share of a group soon belongs to it. Then all pairs between the
+components that are left and share such an item are compared: items whose holders are all of one component are left out,
+and of the others the largest component's holders are only set against the rest. What is left to be tried grows with the
+square of a group only where many of its members lie just below the threshold; each such trial costs a few operations on
+words and makes no row.
 
 With 24 bands of 6 registers a pair at a similarity of 0.85 is missed with a probability of about 1e-5, at 0.8 of about
 7e-4 by bands alone (a chain of links through other members still joins it); the estimate's margin is five standard
@@ -46,7 +48,7 @@ M = BANDS * ROWS
 B, A, LIMIT = 1.001, 20.0, 65_534
 MARGIN = 5.0
 PERCENT = 80
-ROUNDS = 2  # of stars over rare items
+ROUNDS = 4  # of stars over rare items
 WIDTH = 1.02  # ratio of neighbouring classes of sizes
 WORDS = [f"w{i}" for i in range(8)]  # of 64 parity bits each
 
@@ -291,8 +293,29 @@ def size_class(n):
     return F.floor(F.log(n) / F.lit(float(np.log(WIDTH))) + 1e-9).cast("int")
 
 
+def parity_reach(n1, n2, one: str, two: str, percent: int):
+    """At least how many items only one of two sets holds, by the parities in columns one and two (prefixes), and whether
+    that leaves a link possible."""
+    differ = sum(F.bit_count(F.col(f"{one}{w}").bitwiseXOR(F.col(f"{two}{w}"))) for w in WORDS)
+    return differ, differ * (100 + percent) <= (n1 + n2) * (100 - percent)
+
+
+def near_stars(front: DataFrame, labels: DataFrame | None, first, percent: int) -> DataFrame:
+    """As star_pairs, over rare items instead of bands: of the leaders of its items a member is paired with the one whose
+    parities are nearest."""
+    rows = with_components(front, labels)
+    named = F.struct(first.alias("first"), "id", "n", "comp", *WORDS)
+    lead = rows.groupBy("k").agg(F.max(named).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+    lead = stage(lead.select("k", F.col("l.id").alias("a"), F.col("l.n").alias("n_a"), F.col("l.comp").alias("c_a"), *[F.col(f"l.{w}").alias(f"a_{w}") for w in WORDS]))
+    differ, reach = parity_reach(F.col("n"), F.col("n_a"), "", "a_", percent)
+    apart = (F.col("comp") != F.col("c_a")) & close_sizes(F.col("n"), F.col("n_a"), percent) & reach
+    met = rows.join(lead, [rows["k"] == lead["k"], apart]).select("id", "a", differ.alias("differ"))
+    best = met.groupBy("id").agg(F.min(F.struct("differ", "a")).alias("best"))
+    return best.select(F.col("best.a").alias("a"), F.col("id").alias("b"))
+
+
 def front_items(dealt: DataFrame, labels: DataFrame | None, items: DataFrame, percent: int) -> DataFrame:
-    """id, n, weight, x, own, other, k: of every member of a bucket with several components its first items from rare to
+    """id, n, weight, parities, x, own, other, k: of every member of a bucket with several components its first items from rare to
     frequent, as many as partners of the size class `other` ask for, if another such member holds them. k names item and
     classes."""
     rows = with_components(dealt, labels)
@@ -309,24 +332,24 @@ def front_items(dealt: DataFrame, labels: DataFrame | None, items: DataFrame, pe
     classes = held.drop("comp").join(several, "x").withColumn("own", size_class(n)).withColumn("other", F.explode(F.sequence(size_class(low), size_class(high))))
     least = F.greatest(low, F.floor(F.pow(F.lit(WIDTH), F.col("other"))) - 1)
     front = classes.filter(F.col("pos") <= n - needed(n, least, percent) + 1)
-    out = stage(front.select("id", "n", "weight", "x", "own", "other", F.xxhash64("x", F.least("own", "other"), F.greatest("own", "other")).alias("k")))
+    front = front.join(items.select("id", *WORDS), "id")
+    out = stage(front.select("id", "n", "weight", *WORDS, "x", "own", "other", F.xxhash64("x", F.least("own", "other"), F.greatest("own", "other")).alias("k")))
     discard(still, often, held, several)
     return out
 
 
-def front_pairs(front: DataFrame, labels: DataFrame | None, items: DataFrame, percent: int) -> DataFrame:
+def front_pairs(front: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
     """All pairs (a, b) of different components that share one of the first items of both, as far as sizes and parities
     allow a link. Where one component holds most of an item, its members are set against the others only."""
     held = with_components(front, labels)
     per = held.groupBy("k", "comp").agg(F.count("*").alias("c"))
     tops = per.groupBy("k").agg(F.max(F.struct("c", "comp")).alias("most"), F.count("*").alias("comps"))
     tops = stage(tops.filter("comps > 1").select("k", F.col("most.comp").alias("top")))
-    rows = stage(held.join(tops, "k").join(items.select("id", *WORDS), "id").select("x", "own", "other", "id", "comp", "n", "top", *WORDS))
-    side = rows.drop("top").toDF(*[f"{c}2" for c in rows.drop("top").columns])
+    rows = stage(held.join(tops, "k").select("x", "own", "other", "id", "comp", "n", "top", *WORDS))
+    side = rows.select(*[F.col(c).alias(f"{c}2") for c in ("x", "own", "other", "id", "comp", "n")], *[F.col(w).alias(f"other_{w}") for w in WORDS])
     same = [F.col("x") == F.col("x2"), F.col("own") == F.col("other2"), F.col("other") == F.col("own2")]
     apart = (F.col("comp") != F.col("comp2")) & ((F.col("comp2") == F.col("top")) | (F.col("id") < F.col("id2"))) & close_sizes(F.col("n"), F.col("n2"), percent)
-    differ = sum(F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}2"))) for w in WORDS)  # at most the items in only one of them
-    reach = differ * (100 + percent) <= (F.col("n") + F.col("n2")) * (100 - percent)
+    _, reach = parity_reach(F.col("n"), F.col("n2"), "", "other_", percent)
     pairs = rows.filter("comp <> top").join(side, [*same, apart & reach])
     out = stage(pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct())
     discard(tops, rows)
@@ -359,8 +382,11 @@ def grouped(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     labels = joined_by(stage(star_pairs(dealt, None, F.col("weight"), percent)), None, items, percent)
     front = front_items(dealt, labels, items, percent)
     for i in range(ROUNDS):
-        labels = joined_by(stage(star_pairs(front, labels, F.xxhash64("id", F.lit(i)) if i else F.col("weight"), percent)), labels, items, percent)
-    labels = joined_by(front_pairs(front, labels, items, percent), labels, items, percent)
+        pairs = stage(near_stars(front, labels, F.xxhash64("k", "id", F.lit(i)) if i else F.col("weight"), percent))
+        if not pairs.limit(1).count():
+            break
+        labels = joined_by(pairs, labels, items, percent)
+    labels = joined_by(front_pairs(front, labels, percent), labels, items, percent)
     discard(dealt, items, front)
 
     of_node = with_components(nodes.select("key", "id", "none", "doc_id"), labels)

@@ -10,6 +10,7 @@ from .packing import op5_packing
 from .passages import op10_bwt_dedup
 from .pii import op3_personal_data
 from .quality import op6_repetition_rules
+from .sql import OP6_SQL, OP7_SQL, OP10_SQL
 from .toxicity import op4_toxic_segments
 from .vectors import OP2_SQL, op2_onebit_ann
 
@@ -28,4 +29,11 @@ QUERIES = {
         op10_bwt_dedup,
     )
 }
-SQL = {"op1_chat_format": OP1_SQL, "op2_onebit_ann": OP2_SQL, "op8_water_fill": OP8_SQL}
+SQL = {
+    "op1_chat_format": OP1_SQL,
+    "op2_onebit_ann": OP2_SQL,
+    "op6_repetition_rules": OP6_SQL,
+    "op7_setsketch": OP7_SQL,
+    "op8_water_fill": OP8_SQL,
+    "op10_bwt_dedup": OP10_SQL,
+}
