@@ -11,8 +11,8 @@ from windrose.plans.queries import QUERIES
 
 ROOT = Path(__file__).resolve().parents[1]
 DIR = "/root/testdata/sf0.001"
-#: One-row aggregates side by side, a join on a part of a string against five regions, and a model of one group.
-ALL_PAIRS = {"global_stats", "substring_join", "coefficient_drift"}
+#: One-row aggregates side by side, and a model of one group.
+ALL_PAIRS = {"global_stats", "coefficient_drift"}
 
 
 def imports(path):

@@ -73,10 +73,10 @@ def fleet_drift(deltas: DataFrame, delta: str, stable: str, country: str) -> tup
     """The fleet's drift from the boats whose measurements didn't change, or from all (whole fleet false) where there are
     none; and the drift of every country from stable boats only."""
     known = deltas.filter(F.col(delta).isNotNull())
-    any_stable = known.agg(F.coalesce(F.bool_or(stable), F.lit(False)).alias("has"))
-    used = known.crossJoin(any_stable).filter(~F.col("has") | F.col(stable)).withColumn("from_stable", F.col("has"))  # one row beside it
-    total = known.agg(F.count("*").alias("n_total"))
-    fleet = drift_stats(used.withColumn("_all", F.lit("fleet")), "_all", delta).drop("_all").crossJoin(any_stable.select(F.col("has").alias("from_stable"))).crossJoin(total)
+    kinds = F.when(F.col(stable), F.array(F.lit("all"), F.lit("stable"))).otherwise(F.array(F.lit("all")))
+    both = drift_stats(known.select(F.explode(kinds).alias("_of"), delta), "_of", delta)  # two rows
+    best = both.agg(F.max_by(F.struct("*"), "_of").alias("r"), F.max(F.when(F.col("_of") == "all", F.col("n"))).alias("n_total")).filter("n_total IS NOT NULL")
+    fleet = best.select("r.*", "n_total").withColumn("from_stable", F.col("_of") == "stable").drop("_of")
     by_country = known.filter(F.col(stable) & F.col(country).isNotNull()).groupBy(country).agg(
         F.count("*").alias("n_stable"),
         F.round(F.avg(delta), 5).alias("mean_drift"),

@@ -36,22 +36,24 @@ def name_candidates(results: DataFrame, boats: DataFrame, name: str = "name", ke
 
 def certificate_match(certs: DataFrame, boats: DataFrame) -> DataFrame:
     """certs: result_id, sail, name, country. One candidate by tokens is taken, unless the sail is a short number and
-    the name differs (then the row is skipped); of several, one by name, then one by country; else name and country."""
-    b = boats.select("boat_id", "boat_name", "boat_country")
-    cand = token_candidates(certs, boats).join(b, "boat_id").join(certs, "result_id")
-    same_name = normalize_name("name") == normalize_name("boat_name")
-    n = F.count("*").over(Window.partitionBy("result_id"))
-    cand = cand.withColumn("n", n).withColumn("same_name", same_name)
-    skip = cand.filter((F.col("n") == 1) & ambiguous_sail("sail") & ~F.col("same_name") & (normalize_name("name") != "")).select("result_id").distinct()
-    ok = cand.join(skip, "result_id", "left_anti")
-    rules = [
-        ("token", ok.filter("n = 1")),
-        ("token_name", ok.filter("n > 1 AND same_name")),
-        ("token_country", ok.filter("n > 1").filter(F.col("country") == F.col("boat_country"))),
-        ("name_country", name_candidates(certs, boats, extra=F.col("country") == F.col("boat_country")).join(skip, "result_id", "left_anti")),
-    ]
-    out = cascade(certs, rules)
-    return out.join(skip.withColumn("_s", F.lit(True)), "result_id", "left").withColumn("method", F.when(F.col("_s"), "skipped").otherwise(F.coalesce("method", F.lit("unmatched")))).drop("_s")
+    the name differs (then the row is skipped); of several, one by name, then one by country; else name and country.
+    The candidates of a row are counted once, with what they have in common with it; no rule reads them again."""
+    b = boats.select("boat_id", normalize_name("boat_name").alias("_bn"), F.col("boat_country").alias("_bc"))
+    c = certs.withColumn("_n", normalize_name("name"))
+    cand = token_candidates(certs, boats).join(b, "boat_id").join(c.select("result_id", "_n", "country"), "result_id")
+    named, at_home = F.col("_n") == F.col("_bn"), F.col("country") == F.col("_bc")
+    per = cand.groupBy("result_id").agg(
+        F.count("*").alias("_all"), F.min("boat_id").alias("_any"), F.count_if(named).alias("_named"), F.min(F.when(named, F.col("boat_id"))).alias("_by_name"), F.count_if(at_home).alias("_home"), F.min(F.when(at_home, F.col("boat_id"))).alias("_by_country")
+    )
+    both = c.filter("_n <> ''").join(b, named & at_home).groupBy("result_id").agg(F.countDistinct("boat_id").alias("_both"), F.min("boat_id").alias("_by_both"))
+    x = c.join(per, "result_id", "left").join(both, "result_id", "left")
+    one, several = F.col("_all") == 1, F.col("_all") > 1
+    skipped = one & ambiguous_sail("sail") & (F.col("_named") == 0) & (F.col("_n") != "")
+    rules = [("token", one, "_any"), ("token_name", several & (F.col("_named") == 1), "_by_name"), ("token_country", several & (F.col("_home") == 1), "_by_country"), ("name_country", F.col("_both") == 1, "_by_both")]
+    boat, method = F.when(skipped, None), F.when(skipped, "skipped")
+    for name, holds, column in rules:
+        boat, method = boat.when(holds, F.col(column)), method.when(holds, name)
+    return x.withColumn("boat_id", boat).withColumn("method", method.otherwise("unmatched")).select(*certs.columns, "boat_id", "method")
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, a: str, b: str, least: float) -> DataFrame:
