@@ -37,7 +37,7 @@ def import_listing(boats: DataFrame, ratings: DataFrame, listing: DataFrame, day
     secondary rows then only mark the day's rating of the boat of the same sail and name. Boats, ratings with the column
     secondary, and the secondary rows that found no boat. Of several rows for a boat the one with the highest rating
     counts."""
-    clean = listing.withColumn("name", normalize_name("name")).withColumn("_second", is_secondary(listing["name"], listing["flag"]))
+    clean = listing.withColumn("_second", is_secondary("name", "flag")).withColumn("name", normalize_name("name"))
     primary, second = clean.filter("NOT _second"), clean.filter("_second")
     primary = pick_per_key(primary, ["sail", "name"], [F.desc_nulls_last("rating")])
     named = boats.withColumn("_n", normalize_name("boat_name"))

@@ -131,8 +131,8 @@ def winsorised_means(df: DataFrame, group: str, values: Sequence[str], share: fl
     cut = counts.groupBy(F.col("g").alias("h"), F.col("c").alias("d")).agg(at(k).alias("low"), at(F.col("whole") - 1 - k).alias("high"))
     held = counts.join(cut, F.col("g").eqNullSafe(F.col("h")) & (F.col("c") == F.col("d")))
     clipped = F.greatest(F.least("v", "high"), "low").cast("decimal(28,8)") * F.col("n")  # exact, whatever the order of the sum
-    of = lambda v, x: F.sum(F.when(F.col("c") == v, x)).cast("double")
-    wide = held.groupBy("g").agg(*[F.round(of(v, clipped) / of(v, F.col("n")), digits).alias(f"_m{i}") for i, v in enumerate(values)])
+    of = lambda v, x: F.sum(F.when(F.col("c") == v, x))
+    wide = held.groupBy("g").agg(*[F.round(of(v, clipped) / of(v, F.col("n")), digits).cast("double").alias(f"_m{i}") for i, v in enumerate(values)])
     groups = df.select(F.col(group).alias("_g")).distinct()
     return groups.join(wide, F.col("_g").eqNullSafe(F.col("g")), "left").select(F.col("_g").alias(group), *[F.col(f"_m{i}").alias(v) for i, v in enumerate(values)])
 
