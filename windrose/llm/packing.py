@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, frame, portions, stage, table
+from .common import frame, portions, stage, table
 
 CAPACITY, END, GRAIN, GAP, SMOOTH, MAX_ROUNDS = 2048, 1, 8, 5e-4, 0.7, 3000
 SLICE_ROWS = 2_000

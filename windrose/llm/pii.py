@@ -21,7 +21,6 @@ empty table gives no rows; other columns are ignored. Without any base span in t
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 

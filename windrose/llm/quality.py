@@ -12,7 +12,6 @@ repeated rows are judged alike, each on its own; an empty table gives no rows; o
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
