@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .audit import OP11_SQL, op11_filter_audit
 from .chat import OP1_SQL, op1_chat_format
+from .contamination import OP12_SQL, op12_decontamination
 from .langid import op9_language_id
 from .mixing import OP8_SQL, op8_water_fill
 from .neardup import op7_setsketch
@@ -12,6 +14,7 @@ from .pii import op3_personal_data
 from .quality import op6_repetition_rules
 from .sql import OP6_SQL, OP7_SQL, OP10_SQL
 from .toxicity import op4_toxic_segments
+from .variants import OP13_SQL, op13_spelling_variants
 from .vectors import OP2_SQL, op2_onebit_ann
 
 QUERIES = {
@@ -27,6 +30,9 @@ QUERIES = {
         op8_water_fill,
         op9_language_id,
         op10_bwt_dedup,
+        op11_filter_audit,
+        op12_decontamination,
+        op13_spelling_variants,
     )
 }
 SQL = {
@@ -36,4 +42,7 @@ SQL = {
     "op7_setsketch": OP7_SQL,
     "op8_water_fill": OP8_SQL,
     "op10_bwt_dedup": OP10_SQL,
+    "op11_filter_audit": OP11_SQL,
+    "op12_decontamination": OP12_SQL,
+    "op13_spelling_variants": OP13_SQL,
 }
