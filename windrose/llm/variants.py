@@ -21,16 +21,16 @@ from __future__ import annotations
 import math
 import pickle
 import re
+import uuid
 import zlib
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from itertools import islice
 
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, portions, stage, table
@@ -80,7 +80,7 @@ def counted(docs: DataFrame, least_length: int = LEAST_LENGTH, least_count: int
 class Trie:
     """Words in flat arrays: the children of a node stand together, in the order of their labels."""
 
-    def __init__(self, words: list[str], counts: list[int]):
+    def __init__(self, words: list[str], counts: Sequence[int]):
         """words: distinct, sorted by code point."""
         self.words, self.counts = words, counts
         labels, first, word = [chr(0)], array("q"), array("q")  # word: of a node below which one word is left, else that which ends here, or -1
@@ -164,34 +164,43 @@ def one_apart(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i:] if len(a) > len(b) else a[i + 1 :] == b[i + 1 :]
 
 
-def tries(words: DataFrame, size: int, shard: int = SHARD) -> DataFrame:
-    """shard and model, the pickled trie of at most `shard` of the words; size: how many words there are."""
+def tries(words: DataFrame, shard: int = SHARD) -> DataFrame:
+    """shard and model, the pickled trie of at most `shard` of the words: neighbouring ranges of the words together, however
+    many ranges there are, so that most shards end a word's search at its first letters."""
+    dealt = stage(words.repartitionByRange("word").withColumn("_p", F.spark_partition_id()))  # written, so that counts and rows see the same ranges
+    sizes = dealt.groupBy("_p").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.orderBy("_p"))  # a row a range
+    sizes = sizes.select("_p", F.floor((upto - 1) / shard).alias("shard"))
+
+    def build(t: pa.Table) -> pa.Table:
+        t = t.sort_by("word")
+        words, counts = t.column("word").to_pylist(), t.column("n").to_pylist()
+        models = [pickle.dumps(Trie(words[at : at + shard], array("q", counts[at : at + shard]))) for at in range(0, len(words), shard)]
+        number = t.column("shard")[0].as_py()
+        return pa.table({"shard": pa.array([number] * len(models), pa.int64()), "model": pa.array(models, pa.binary())})
+
+    out = stage(dealt.join(F.broadcast(sizes), "_p").select("shard", "word", "n").groupBy("shard").applyInArrow(build, "shard long, model binary"))  # broadcast: a row a range
+    discard(dealt)
+    return out
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, k = TaskContext.get().partitionId(), 0
-        words, counts = [], []
-        for b in it:
-            words += b.column(0).to_pylist()
-            counts += b.column(1).to_pylist()
-            while len(words) > shard:
-                yield model(task << 20 | k, words[:shard], counts[:shard])
-                words, counts, k = words[shard:], counts[shard:], k + 1
-        if words:
-            yield model(task << 20 | k, words, counts)
 
-    def model(number: int, words: list[str], counts: list[int]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([pickle.dumps(Trie(words, counts))], pa.binary())], names=["shard", "model"])
+_held: dict[str, list[Trie]] = {}
 
-    ranges = words.repartitionByRange(max(1, math.ceil(size / shard)), "word").sortWithinPartitions("word")
-    return stage(ranges.select("word", "n").mapInArrow(batches, "shard long, model binary"))
+
+def loaded(name: str, sent) -> list[Trie]:
+    """The tries of a broadcast, unpickled once in a worker, which keeps no others."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = [pickle.loads(m) for m in sent.value]
+    return _held[name]
 
 
 def neighbours(words: DataFrame, shard: int = SHARD) -> DataFrame:
     """word, n, near, near_n: one row per word and neighbour in words (word, n; distinct), and one without a neighbour
     per word. words is read several times."""
     spark, size = words.sparkSession, words.count()
-    models = tries(words, size, shard)
-    numbers = sorted(r["shard"] for r in models.select("shard").collect())  # a number per shard
+    models = tries(words, shard)
+    numbers = sorted(r["shard"] for r in models.select("shard").distinct().collect())  # a number per shard
     dealt = words.repartition(max(spark.sparkContext.defaultParallelism, math.ceil(size / 20_000)), "word")
     kinds = (pa.string(), pa.int64(), pa.string(), pa.int64())
     parts = [words.select("word", "n", F.lit(None).cast("string").alias("near"), F.lit(None).cast("long").alias("near_n"))]
@@ -199,8 +208,10 @@ def neighbours(words: DataFrame, shard: int = SHARD) -> DataFrame:
         some = models.filter(F.col("shard").isin(numbers[at : at + TOGETHER])).select("model").collect()
         sent = spark.sparkContext.broadcast([bytes(r["model"]) for r in some])
 
-        def batches(it: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            held = [pickle.loads(m) for m in sent.value]
+        name = uuid.uuid4().hex
+
+        def batches(it: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
+            held = loaded(name, sent)
             for b in it:
                 rows = []
                 for word, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
