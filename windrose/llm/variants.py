@@ -123,33 +123,45 @@ class Trie:
         w = self.word[node]
         return w if w >= 0 and len(self.words[w]) == depth + len(rest) else -1
 
-    def near(self, word: str) -> Iterator[int]:
+    def near(self, word: str) -> list[int]:
         """The numbers of the words at distance one from word, each once."""
-        labels, first = self.labels, self.first
-        size, node = len(word), 0
+        labels, find, first, single, followed = self.labels, self.labels.find, self.first, self.single, self.followed
+        size, node, out = len(word), 0, []
         for i in range(size + 1):
-            if self.single[node]:  # one word left: its tail meets the rest of this word's automaton
+            if single[node]:  # one word left: its tail meets the rest of this word's automaton
                 w = self.word[node]
                 if one_apart(self.words[w], word):
-                    yield w
-                return
-            here = word[i] if i < size else ""
-            if here and here != word[i + 1 : i + 2]:
-                yield from self.accepted(node, i, word[i + 1 :])
-            for child in range(first[node], first[node + 1]):
-                if labels[child] != here:
-                    yield from self.accepted(child, i + 1, word[i:])
-                    if here:
-                        yield from self.accepted(child, i + 1, word[i + 1 :])
-            if not here:
-                return
-            node = labels.find(here, first[node], first[node + 1])
-            if node < 0:
-                return
-
-    def accepted(self, node: int, depth: int, rest: str) -> tuple[int, ...]:
-        w = self.followed(node, depth, rest)
-        return (w,) if w >= 0 else ()
+                    out.append(w)
+                break
+            here, after, kept, rest = word[i : i + 1], word[i + 1 : i + 2], word[i:], word[i + 1 :]
+            if here and here != after:
+                out.append(followed(node, i, rest))  # a letter deleted
+            lo, hi, ahead = first[node], first[node + 1], -1
+            for child, c in enumerate(labels[lo:hi], lo):
+                if c == here:
+                    ahead = child
+                elif single[child]:
+                    w = self.word[child]
+                    tail = self.words[w][i + 1 :]
+                    if tail == kept or here and tail == rest:
+                        out.append(w)
+                elif not here:
+                    out.append(followed(child, i + 1, ""))  # a letter added at the end
+                else:
+                    a, b = first[child], first[child + 1]
+                    k = find(here, a, b)  # a letter inserted
+                    if k >= 0:
+                        out.append(followed(k, i + 2, rest))
+                    if not after:
+                        out.append(followed(child, i + 1, ""))  # the last letter replaced
+                    else:
+                        k = find(after, a, b)  # a letter replaced
+                        if k >= 0:
+                            out.append(followed(k, i + 2, word[i + 2 :]))
+            if ahead < 0:
+                break
+            node = ahead
+        return [w for w in out if w >= 0]
 
 
 def one_apart(a: str, b: str) -> bool:
