@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from windrose.sources import files
-from windrose.streaming import feeds
+from windrose.streaming import feeds, state
 
 
 def write(path, text, encoding="utf-8"):
@@ -49,12 +49,10 @@ def test_html_tables(spark):
     assert [(r.place, r.boat_name, r.sail_number, r.rating, r.fleet_size) for r in got] == [(1, "Sun & Fish", "AUS 1", 1.05, 2), (None, "B", "2", None, 2)]
 
 
-def test_lines_and_certificate_text(spark):
+def test_lines_and_file_names(spark):
     lines = [("1 IRC1 HKG2345 Red Kite 10:00:00 12:30:15 2:30:15 2:40:01 1.045",), ("HKG99 Blue - -",)]
     got = files.line_rows(spark.createDataFrame(lines, "t string"), "t").collect()
     assert [(r.place, r.elapsed, r.corrected, r.rating, r.status) for r in got] == [(1, "2:30:15", "2:40:01", 1.045, "finished"), (None, None, None, None, "DNF")]
-    c = spark.createDataFrame([("TCC 1,045 Longueur de coque: 9,98 Expire le 31/12/2024",)], "t string").select(*files.certificate_text("t")).first()
-    assert (c.tcc, c.lh, c.issue_date) == (1.045, 9.98, dt.date(2023, 12, 31))
     p = spark.createDataFrame([("12_BOAT_AUS_1.pdf",)], "f string").select(*files.name_parts(F.col("f"))).first()
     assert tuple(p) == ("12", "BOAT", "AUS_1")
 
@@ -81,7 +79,7 @@ def test_runs_compact_alike_in_table_and_stream(spark, tmp_path):
     want = sorted(tuple(r) for r in feeds.run_length_compact(df, "k", "o", "v").collect())
     assert want == [("a", 1, None), ("a", 5, "y"), ("a", 6, "x"), ("b", 1, "q")] or want[0][0] == "a"
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    q = feeds.compact_runs(feeds.events_stream(spark, str(tmp_path / "in"), schema), "k", "o", "v").writeStream.format("memory").queryName("compacted").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
+    q = state.compact_runs(feeds.events_stream(spark, str(tmp_path / "in"), schema), "k", "o", "v").writeStream.format("memory").queryName("compacted").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
     q.awaitTermination()
     assert sorted(map(str, (tuple(r) for r in spark.table("compacted").collect()))) == sorted(map(str, want))
 

@@ -105,6 +105,11 @@ def clean_name(name: str | Column) -> Column:
     return F.trim(F.regexp_replace(C(name), r"(?i)\s+-\s+SEC\s*$", ""))
 
 
+def stripped(s: str | Column) -> Column:
+    """Without white space of any kind around it."""
+    return F.regexp_replace(C(s), r"^\s+|\s+$", "")
+
+
 def safe_number(s: str | Column) -> Column:
     return F.trim(C(s)).try_cast("double")
 
@@ -161,9 +166,14 @@ def ordinal(n: str | Column) -> Column:
     return F.concat(v.cast("string"), suffix)
 
 
+# What the names of offshore races hold.
+OFFSHORE = "offshore|coastal|passage|sydney.*hobart|gladstone"
+
+
 def race_bucket(s: str | Column) -> Column:
+    """twilight, offshore, or series for all other events, those without a name included."""
     t = F.lower(F.coalesce(C(s), F.lit("")))
-    return F.when(t.contains("twilight"), "twilight").when(t.rlike("offshore|hobart|fastnet|ocean"), "offshore").when(t.rlike("series|pointscore|championship"), "series").otherwise("other")
+    return F.when(t.contains("twilight"), "twilight").when(t.rlike(OFFSHORE), "offshore").otherwise("series")
 
 
 def trigrams(s: str | Column) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relational import checkpoint_dir
+
 
 def since(time: str, as_of: str, hours: float) -> Column:
     return F.col(time) > F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(hours=F.lit(int(hours)))
@@ -68,26 +69,41 @@ def orphans(child: DataFrame, parent: DataFrame, fk: str, pk: str) -> DataFrame:
 
 
 def match_names(left: DataFrame, right: DataFrame, group: str, name: str, least: int = 3) -> DataFrame:
-    """group, a, b: names matched one to one within a group. Equal names first, by an equi-join; what is left is matched
-    greedily where one name holds the other, longest first, a group of left-overs at a time."""
-    norm = lambda df: df.select(group, F.lower(F.regexp_replace(name, r"\s+", "")).alias("k"), F.col(name).alias("v")).filter("k <> ''").dropDuplicates([group, "k"])
-    x, y = norm(left), norm(right)
-    equal = x.withColumnRenamed("v", "a").join(y.withColumnRenamed("v", "b"), [group, "k"])
-    restx, resty = x.join(equal, [group, "k"], "left_anti"), y.join(equal, [group, "k"], "left_anti")
-    kind = left.schema[group].dataType.simpleString()
-
-    def greedy(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out, free = [], sorted(b.itertuples(), key=lambda r: (-len(r.k), r.k))
-        for r in sorted(a.itertuples(), key=lambda r: (-len(r.k), r.k)):
-            for o in free:
-                if min(len(r.k), len(o.k)) >= least and (r.k in o.k or o.k in r.k):
-                    out.append((getattr(r, group), r.v, o.v))
-                    free.remove(o)
-                    break
-        return pd.DataFrame(out, columns=[group, "a", "b"])
-
-    near = restx.groupBy(group).cogroup(resty.groupBy(group)).applyInPandas(greedy, f"{group} {kind}, a string, b string")
-    return equal.select(group, "a", "b").unionByName(near)
+    """group, a, b: names matched one to one within a group, case and blanks aside. Equal names first; what is left goes in the order
+    longest first, then by letters: each name of the left takes the first free one of the right that holds it or is held
+    by it, the shorter one of at least `least` letters.
+
+    Names take turns in rounds: a pair counts as soon as each is the other's first among what is left, which gives the same as
+    one after another, because all names of the right rank those of the left alike. A round is two aggregations and
+    joins over the pairs left; there are as many as the longest chain of names that wait for each other, mostly two or three.
+    Candidates are joined on the group and the first `least` letters of the shorter name, so no group has to fit in a task."""
+    checkpoint_dir(left.sparkSession)
+
+    def norm(df: DataFrame, n: str) -> DataFrame:
+        k = F.lower(F.regexp_replace(name, r"\s+", ""))
+        return df.select(group, k.alias("k"), F.col(name).alias(n)).filter("k <> ''").groupBy(group, "k").agg(F.min(n).alias(n))
+
+    x, y = norm(left, "a"), norm(right, "b")
+    equal = x.join(y, [group, "k"])
+    size = max(least, 1)
+    restx = x.join(equal, [group, "k"], "left_anti").filter(F.length("k") >= least).withColumnRenamed("k", "ka")
+    resty = y.join(equal, [group, "k"], "left_anti").filter(F.length("k") >= least).withColumnRenamed("k", "kb")
+
+    def held(inner: DataFrame, i: str, outer: DataFrame, o: str) -> DataFrame:
+        pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(o) - size + 1, F.lit(1))), lambda at: F.substring(F.col(o), at, F.lit(size))))
+        spread = outer.withColumn("_g", F.explode(pieces))
+        return inner.withColumn("_g", F.substring(i, 1, size)).join(spread, [group, "_g"]).filter(F.contains(F.col(o), F.col(i))).select(group, "ka", "a", "kb", "b")
+
+    pairs = held(restx, "ka", resty, "kb").union(held(resty, "kb", restx, "ka")).distinct().checkpoint()
+    out = equal.select(group, "a", "b")
+    turn = lambda k: F.struct(-F.length(k), F.col(k))
+    while pairs.limit(1).count():
+        first_b = pairs.groupBy(group, "ka").agg(F.min(turn("kb")).alias("_b"))
+        first_a = pairs.groupBy(group, "kb").agg(F.min(turn("ka")).alias("_a"))
+        agreed = pairs.join(first_b, [group, "ka"]).join(first_a, [group, "kb"]).filter((F.col("_b") == turn("kb")) & (F.col("_a") == turn("ka"))).select(group, "ka", "a", "kb", "b").checkpoint()
+        out = out.unionByName(agreed.select(group, "a", "b"))
+        pairs = pairs.join(agreed.select(group, "ka"), [group, "ka"], "left_anti").join(agreed.select(group, "kb"), [group, "kb"], "left_anti").checkpoint()
+    return out
 
 
 def number_audit(texts: DataFrame, key: str, text: str, allowed: DataFrame, value: str) -> DataFrame:

@@ -81,13 +81,62 @@ def fuzzy_search(boats: DataFrame, query: str, limit: int = 20) -> DataFrame:
     return s.filter("s_name > 0.3 OR s_sail > 0.5").withColumn("score", F.greatest("s_name", "s_sail")).orderBy(F.desc("score"), "boat_id").limit(limit)
 
 
+def search_batch(queries: DataFrame, boats: DataFrame) -> DataFrame:
+    """query_id, boat_id, score of every boat that a query (query_id, q) finds: as fuzzy_search for all queries at once, secondary
+    certificates apart. Pairs come from trigrams that they must share, not from all boats for each query."""
+    b = boats.filter(~F.coalesce(F.endswith("boat_name", F.lit(" - SEC")), F.lit(False))).select("boat_id", "boat_name", "boat_sail")
+    q = queries.select("query_id", "q")
+    found = similar_pairs(q, b.select("boat_id", "boat_name"), "q", "boat_name", 0.3).filter("similarity > 0.3").select("query_id", "q", "boat_id")
+    found = found.union(similar_pairs(q, b.select("boat_id", "boat_sail"), "q", "boat_sail", 0.5).filter("similarity > 0.5").select("query_id", "q", "boat_id")).distinct()
+    score = F.greatest(trigram_similarity("boat_name", "q"), trigram_similarity("boat_sail", "q"))
+    return found.join(b, "boat_id").select("query_id", "boat_id", score.alias("score"))
+
+
+def deletions(text: Column, most: int = 2) -> Column:
+    """The text and all that is left of it without up to `most` letters: texts within `most` edits of each other share one."""
+    out = F.array(text)
+    shorter = lambda s: F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s)))), lambda x: F.length(s) > 0)
+    last = out
+    for _ in range(most):
+        last = F.array_distinct(F.flatten(F.transform(last, shorter)))
+        out = F.concat(out, last)
+    return F.array_distinct(out)
+
+
+def near_texts(left: DataFrame, right: DataFrame, a: str, b: str, most: int = 2) -> DataFrame:
+    """a, b, distance of the distinct pairs within `most` edits, joined on what deletions leave of both."""
+    x = left.select(a).filter(F.col(a).isNotNull()).distinct().withColumn("_v", F.explode(deletions(F.col(a), most)))
+    y = right.select(b).filter(F.col(b).isNotNull()).distinct().withColumn("_v", F.explode(deletions(F.col(b), most)))
+    return x.join(y, "_v").select(a, b).distinct().withColumn("distance", F.levenshtein(a, b)).filter(F.col("distance") <= most)
+
+
+# Sails count from 3 to 10 letters of the query, within 2 of its length and 2 edits; names above 0.18; a
+# sail of another length is as far as this.
+SHORTEST, LONGEST, EDITS, ALIKE, FAR = 3, 10, 2, 0.18, 999
+
+
+def suggest_batch(queries: DataFrame, boats: DataFrame, limit: int = 5) -> DataFrame:
+    """query_id, rank, boat_id, sail_dist, name_sim: for every query (query_id, q) of two letters and more that finds
+    nothing, the boats with a sail within two edits or a name that is alike, nearest sail first, then the most alike name, then
+    by name and boat_id. Both branches are joins over all queries; ranks are cut off before the shuffle."""
+    checkpoint_dir(queries.sparkSession)
+    b = boats.filter(~F.coalesce(F.endswith("boat_name", F.lit(" - SEC")), F.lit(False))).select("boat_id", "boat_name", "boat_sail", F.upper("boat_sail").alias("_s"))
+    asked = queries.select("query_id", "q").filter(F.length(F.trim("q")) >= 2)
+    lost = asked.join(search_batch(asked, boats).select("query_id"), "query_id", "left_anti").checkpoint()
+    short = lost.filter(F.length("q").between(SHORTEST, LONGEST)).withColumn("_q", F.upper("q"))
+    by_sail = short.join(near_texts(short, b.filter(F.length("_s") <= LONGEST + EDITS), "_q", "_s", EDITS), "_q").join(b.select("boat_id", "_s"), "_s").select("query_id", "q", "boat_id")
+    by_name = similar_pairs(lost, b.select("boat_id", "boat_name"), "q", "boat_name", ALIKE).filter(F.col("similarity") > ALIKE).select("query_id", "q", "boat_id")
+    found = by_sail.union(by_name).distinct().join(b, "boat_id")
+    gate = F.abs(F.length("boat_sail") - F.length("q")) <= EDITS
+    found = found.withColumn("sail_dist", F.coalesce(F.when(gate, F.levenshtein("_s", F.upper("q"))), F.lit(FAR))).withColumn("name_sim", trigram_similarity("boat_name", "q"))
+    w = Window.partitionBy("query_id").orderBy("sail_dist", F.desc("name_sim"), "boat_name", "boat_id")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("query_id", "rank", "boat_id", "sail_dist", "name_sim")
+
+
 def suggestions(boats: DataFrame, query: str, limit: int = 5) -> DataFrame:
-    """Names within two edits (and three characters of length), or with a similarity above 0.18."""
-    q = query.lower()
-    near = F.levenshtein(F.lower("boat_name"), F.lit(q))
-    s = boats.withColumn("distance", near).withColumn("s_name", trigram_similarity("boat_name", F.lit(query)))
-    close = (F.abs(F.length("boat_name") - len(q)) <= 3) & (F.col("distance") <= 2)
-    return s.filter(close | (F.col("s_name") > 0.18)).orderBy("distance", F.desc("s_name"), "boat_id").limit(limit)
+    """boat_id, sail_dist, name_sim suggested for one query that finds nothing, in order."""
+    q = boats.sparkSession.createDataFrame([(0, query)], "query_id long, q string")
+    return suggest_batch(q, boats, limit).orderBy("rank").drop("query_id", "rank")
 
 
 def duplicate_clusters(df: DataFrame, key: Sequence[Column], id_col: str) -> DataFrame:

@@ -211,13 +211,6 @@ def trigram_pairs(spark, d):
     return p.filter("x < y").select("x", "y", r6("similarity").alias("similarity"))
 
 
-@query("SELECT p_partkey, CAST(levenshtein(lower(p_name), 'smal ring') AS INTEGER) AS distance FROM part WHERE abs(length(p_name) - 9) <= 3 AND levenshtein(lower(p_name), 'smal ring') <= 2 ORDER BY distance, p_partkey LIMIT 5")
-def levenshtein_suggestions(spark, d):
-    boats = t(spark, d, "part").select(F.col("p_partkey").alias("boat_id"), F.col("p_name").alias("boat_name"))
-    s = resolve.suggestions(boats, "smal ring").filter("distance <= 2")
-    return s.select(F.col("boat_id").alias("p_partkey"), "distance")
-
-
 @query("""SELECT md5(lower(regexp_replace(text, '[^a-zA-Z0-9]+', '', 'g'))) AS key, count(*) AS size, list(doc_id ORDER BY doc_id) AS ids FROM documents WHERE regexp_replace(text, '[^a-zA-Z0-9]+', '', 'g') <> '' GROUP BY 1 HAVING count(*) > 1""")
 def duplicate_clusters(spark, d):
     norm = F.lower(F.regexp_replace("text", "[^a-zA-Z0-9]+", ""))

@@ -240,21 +240,6 @@ def line_rows(lines: DataFrame, column: str) -> DataFrame:
     )
 
 
-def certificate_text(text: str | Column) -> list[Column]:
-    """Measurements on the text of a certificate in English, French, Spanish or Italian; a decimal comma is a point, the
-    issue date a year before expiry."""
-    t = F.col(text) if isinstance(text, str) else text
-    number = lambda pattern: F.nullif(F.regexp_replace(F.regexp_extract(t, pattern, 1), ",", "."), F.lit("")).try_cast("double")
-    expiry = F.try_to_timestamp(F.regexp_extract(t, r"(?:Expires|Expire le|Caduca|Scade)\D{0,20}(\d{2}/\d{2}/\d{4})", 1), F.lit("dd/MM/yyyy")).cast("date")
-    return [
-        number(r"TCC\D{0,12}(\d[.,]\d{3})").alias("tcc"),
-        number(r"(?:Hull Length|Longueur de coque|Eslora|Lunghezza)\D{0,10}([\d.,]+)").alias("lh"),
-        number(r"(?:Boat Weight|Poids|Peso)\D{0,10}([\d.,]+)").alias("displacement"),
-        number(r"(?:Draft|Tirant d'eau|Calado|Pescaggio)\D{0,10}([\d.,]+)").alias("draft"),
-        F.add_months(expiry, -12).alias("issue_date"),
-    ]
-
-
 def name_parts(file_name: str | Column) -> list[Column]:
     """cert_boat_sail.pdf in three parts; further underscores stay in the last."""
     stem = F.regexp_replace(file_name, r"(?i)\.pdf$", "")

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,29 +53,6 @@ def once_each(stream: DataFrame, time: str, ids: Sequence[str], late: str = "1 d
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(list(ids))
 
 
-def compact_runs(stream: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """Of every key's arriving rows, those whose value differs from the start of the running one; a null value agrees
-    with anything. The state is that one value."""
-    key_type, order_type = (stream.schema[c].dataType.simpleString() for c in (key, order))
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        current = state.get[0] if state.exists else None
-        known = state.exists
-        rows = pd.concat(list(batches)).sort_values([order, value], na_position="first")
-        out = []
-        for o, v in zip(rows[order], rows[value], strict=True):
-            v = None if pd.isna(v) else v
-            if not known or (v is not None and current is not None and v != current):
-                out.append((k[0], o, v))
-                current, known = v, True
-            elif current is None:
-                current = v
-        state.update((current,))
-        yield pd.DataFrame(out, columns=[key, order, value])
-
-    return stream.select(key, order, F.col(value).cast("string").alias(value)).groupBy(key).applyInPandasWithState(step, f"{key} {key_type}, {order} {order_type}, {value} string", "current string", "append", "NoTimeout")
-
-
 def run_length_compact(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """The same over a table: rows are compared with the start of their run, which isn't the same as with the row
     before, because null agrees with anything. Carried as the last known value of the run: only non-null values can
