@@ -35,17 +35,6 @@ def test_ridge_matches_normal_equations():
     assert stats.ridge_cv(x[:10], y[:10])["cv_r2"] is None and stats.ridge_cv(x[:10], y[:10])["alpha"] == pytest.approx(0.01)
 
 
-def test_group_models_agree_whether_small_or_large(spark):
-    rng = np.random.default_rng(1)
-    pdf = pd.DataFrame({"g": np.repeat(["a", "b"], 60), "i": range(120), "x": rng.standard_normal(120), "z": rng.standard_normal(120)})
-    pdf["y"] = 2 * pdf.x - pdf.z + 0.001 * rng.standard_normal(120)
-    df = spark.createDataFrame(pdf)
-    key = lambda rows: {(r.grp, r.feature): (round(r.beta, 3), r["rank"], r.tier) for r in rows}
-    small = key(analytics.class_models(df, "g", "y", ["x", "z"], "i").collect())
-    large = key(analytics.class_models(df, "g", "y", ["x", "z"], "i", cap=10).collect())
-    assert small.keys() == large.keys() and all(small[k][1:] == large[k][1:] and abs(small[k][0] - large[k][0]) < 0.01 for k in small)
-
-
 def test_large_groups_choose_alpha_and_drop_sparse_features(spark):
     """One group above 20,000 rows, one small one and one with a null key, each as ridge_cv fits it."""
     rng = np.random.default_rng(4)

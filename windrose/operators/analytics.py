@@ -77,14 +77,14 @@ def usable_features(df: DataFrame, group: str, features: Sequence[str], coverage
     return kept.select(*[F.when(F.col(f"_k_{c}"), F.col(c)).alias(c) if c in features else F.col(c) for c in df.columns if not c.startswith("_k_")])
 
 
-def class_models(df: DataFrame, group: str, target: str, features: Sequence[str], order: str, least: int = 5, cap: int | None = None) -> DataFrame:
+def class_models(df: DataFrame, group: str, target: str, features: Sequence[str], order: str, least: int = 5) -> DataFrame:
     """A ridge model of target on features for every group, a row a feature: std_beta, beta, rank, tier, alpha, r2,
     cv_r2, n. Groups of fewer than `least` rows get correlations (tier 'C'), groups without spread tier 'one-design'.
     Features filled below half of a group's rows are left out there; rows with a null in the others are dropped.
 
     Groups of every size take one path: rows are numbered in the order given over range partitions, dealt into
     contiguous folds, and reduced to means and sums of products by (group, fold), from which alpha is chosen and the
-    model fitted. Rows with a null key are a group of their own. cap has no effect; older callers name it."""
+    model fitted. Rows with a null key are a group of their own."""
     schema = "grp string, feature string, std_beta double, beta double, rank int, tier string, alpha double, r2 double, cv_r2 double, n long"
     features, columns = list(features), [c.split()[0] for c in schema.split(", ")]
     xs = [f"x{i}" for i in range(len(features))]

@@ -89,16 +89,6 @@ def sorted_list(value: str | Column, *order: str | Column) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct(*[C(o).alias(f"o{i}") for i, o in enumerate(order)], C(value).alias("v")))), lambda s: s["v"])
 
 
-def winsorised_mean(value: str | Column, share: float = 0.1, least: int = 4, digits: int = 2) -> Column:
-    """Aggregate: values beyond the index int(n * share) from either end take that place's value; few values: mean. It
-    holds a group's values in one row; winsorised_means() takes groups of any size."""
-    a = F.array_sort(F.collect_list(value))
-    k = lambda a: F.when(F.size(a) < least, 0).otherwise(F.floor(F.size(a) * share)).cast("int")
-    cut = F.transform(F.array(a), lambda a: F.struct(a.alias("a"), F.get(a, k(a)).alias("low"), F.get(a, F.size(a) - 1 - k(a)).alias("high")))
-    mean = F.transform(cut, lambda x: F.aggregate(x["a"], F.lit(0.0), lambda s, v: s + F.greatest(F.least(v, x["high"]), x["low"])) / F.size(x["a"]))
-    return F.round(F.get(mean, 0), digits)
-
-
 def dealt_by_range(df: DataFrame, *order: Column) -> DataFrame:
     """df by ranges of the order, with each row's partition in _p. Written, so that counts by partition and the rows
     themselves see the same partitions, after a lost executor too."""
@@ -122,13 +112,15 @@ def running(df: DataFrame, group: Sequence[str], order: str, weight: str) -> Dat
 
 
 def winsorised_means(df: DataFrame, group: str, values: Sequence[str], share: float = 0.1, least: int = 4, digits: int = 2) -> DataFrame:
-    """A row a group with the winsorised mean of each column's values: values beyond the index int(n * share) from either
-    end take that place's value; few values: mean. Counts by value, whose running sums give the two places."""
+    """A row a group with the winsorised mean of each column's values: values beyond the places int(n * share) and
+    int(n * (1 - share)), from 0, take the values there; few values: mean. Counts by value, whose running sums give the two
+    places."""
     long = df.select(F.col(group).alias("g"), F.explode(F.array(*[F.struct(F.lit(v).alias("c"), F.col(v).cast("double").alias("v")) for v in values])).alias("x")).select("g", "x.*")
     counts = running(long.filter("v IS NOT NULL").groupBy("g", "c", "v").agg(F.count("*").alias("n")), ["g", "c"], "v", "n")
-    k = F.when(F.col("whole") < least, 0).otherwise(F.floor(F.col("whole") * share))
+    n = F.col("whole")
+    first, last = F.when(n < least, 0).otherwise(F.floor(n * share)), F.when(n < least, n - 1).otherwise(F.least(F.floor(n * (1 - share)), n - 1))
     at = lambda i: F.max(F.when((F.col("before") <= i) & (i < F.col("before") + F.col("n")), F.col("v")))
-    cut = counts.groupBy(F.col("g").alias("h"), F.col("c").alias("d")).agg(at(k).alias("low"), at(F.col("whole") - 1 - k).alias("high"))
+    cut = counts.groupBy(F.col("g").alias("h"), F.col("c").alias("d")).agg(at(first).alias("low"), at(last).alias("high"))
     held = counts.join(cut, F.col("g").eqNullSafe(F.col("h")) & (F.col("c") == F.col("d")))
     clipped = F.greatest(F.least("v", "high"), "low").cast("decimal(28,8)") * F.col("n")  # exact, whatever the order of the sum
     of = lambda v, x: F.sum(F.when(F.col("c") == v, x))

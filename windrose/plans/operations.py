@@ -116,7 +116,7 @@ def latest_non_empty(spark, d):
     return rel.latest_non_empty(e, "user_id", ["ts", "event_id"], ["event_type", "k"])
 
 
-@query("""WITH g AS (SELECT p_brand, list_sort(list(p_retailprice)) AS a FROM part GROUP BY 1) SELECT p_brand, round(list_sum(list_transform(a, lambda x: greatest(least(x, a[len(a) - CAST(floor(len(a) * 0.1) AS INTEGER)]), a[1 + CAST(floor(len(a) * 0.1) AS INTEGER)]))) / len(a), 2) AS mean FROM g""")
+@query("""WITH g AS (SELECT p_brand, list_sort(list(p_retailprice)) AS a FROM part GROUP BY 1) SELECT p_brand, round(list_sum(list_transform(a, lambda x: greatest(least(x, a[1 + CAST(floor(len(a) * 0.9) AS INTEGER)]), a[1 + CAST(floor(len(a) * 0.1) AS INTEGER)]))) / len(a), 2) AS mean FROM g""")
 def winsorised_price(spark, d):
     return rel.winsorised_means(t(spark, d, "part").select("p_brand", F.col("p_retailprice").alias("mean")), "p_brand", ["mean"])
 

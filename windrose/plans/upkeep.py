@@ -42,7 +42,7 @@ def design_merge_plan(spark, d):
 
 @query("""WITH s AS (SELECT p_brand AS design, CASE WHEN p_size > 2 THEN CAST(p_size AS DOUBLE) END AS loa, p_type AS builder, 1900 + p_size % 3 AS yr FROM part),
 a AS (SELECT design, list_sort(list(loa) FILTER (loa > 2 AND loa < 50)) AS a FROM s GROUP BY 1),
-n AS (SELECT design, round(list_sum(list_transform(a, lambda x: greatest(least(x, a[len(a) - CAST(floor(len(a) * 0.1) AS INTEGER)]), a[1 + CAST(floor(len(a) * 0.1) AS INTEGER)]))) / len(a), 2) AS loa FROM a),
+n AS (SELECT design, round(list_sum(list_transform(a, lambda x: greatest(least(x, a[1 + CAST(floor(len(a) * 0.9) AS INTEGER)]), a[1 + CAST(floor(len(a) * 0.1) AS INTEGER)]))) / len(a), 2) AS loa FROM a),
 y AS (SELECT design, yr, count(*) AS c FROM s GROUP BY 1, 2), z AS (SELECT design, CASE WHEN max(c) >= 0.7 * sum(c) THEN arg_min(yr, (-c, yr)) END AS "year" FROM y GROUP BY 1),
 b AS (SELECT design, builder, count(*) AS c FROM s GROUP BY 1, 2), q AS (SELECT design, CASE WHEN count(*) < 5 THEN arg_min(builder, (-c, builder)) END AS builder FROM b GROUP BY 1)
 SELECT design, loa, builder, "year" FROM n JOIN z USING (design) JOIN q USING (design)""")
