@@ -112,3 +112,13 @@ def test_query_cases(spark, model):
     assert pii.digest(pii.find(spark.createDataFrame([], "doc_id long, text string"), None)).count() == 0
     clean = pii.redact(spark.createDataFrame([(9, *r) for r in rows], "base int, doc_id long, text string"), model).collect()
     assert {r.text for r in clean if r.doc_id == 3} == {"<email> and <ip>"} and [r.text for r in clean if r.doc_id == 1] == [None]
+
+
+def test_the_model_by_itself_finds_what_the_patterns_find(spark, model):
+    """Documents that it wasn't fitted on, the patterns withheld; card numbers have decoys that only a sum tells apart."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("doc_id >= 1000 AND doc_id % 5 = 2").repartition(8)
+    got = {r.kind: r for r in pii.judged(docs, model).collect()}
+    for kind, least in (("email", 0.85), ("ip", 0.85), ("phone", 0.85), ("card", 0.4)):
+        r = got[kind]
+        assert r.n_base > 10 and r.n_equal >= least * r.n_base and r.n_equal >= 0.9 * r.n_model, r
+    assert pii.judged(docs.limit(0), model).agg({"n_base": "sum"}).first()[0] in (0, None)

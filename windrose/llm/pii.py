@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import frame, portions, table
@@ -320,9 +320,13 @@ def snippets(text: str) -> list[tuple[str, bool]]:
     return out + [(text[max(0, i - 2 * WINDOW) : i + 2 * WINDOW], False) for i in quiet]
 
 
+def in_sample(n: int) -> Column:
+    """Whether a document is one of about SAMPLE of n that the fit may take surroundings from."""
+    return F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) / 1_000_000 * n < SAMPLE
+
+
 def fit(docs: DataFrame) -> dict | None:
     rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
-    chance = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) / 1_000_000
     n = rows.count()
 
     def cutouts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,7 +334,7 @@ def fit(docs: DataFrame) -> dict | None:
             found = [x for text in frame(b.column(0)) for x in snippets(text)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.bool_())], names=["text", "rich"])
 
-    cut = rows.filter(chance * n < SAMPLE).select("text").mapInArrow(cutouts, "text string, rich boolean")
+    cut = rows.filter(in_sample(n)).select("text").mapInArrow(cutouts, "text string, rich boolean")
     first = lambda rich: sorted(r["text"] for r in cut.filter("rich" if rich else "not rich").orderBy(F.xxhash64("text", F.lit(17)), "text").limit(SNIPPETS).collect())
     texts = first(True)
     rng = np.random.default_rng(SEED)
@@ -426,7 +430,8 @@ def whole_runs(text: str, s: int, e: int, kind: int) -> tuple[int, int]:
     return s, e
 
 
-def added_spans(texts: list[str], base: list[list], p: dict) -> list[list[tuple[int, int, int]]]:
+def added_spans(texts: list[str], base: list[list], p: dict, tests: bool = True) -> list[list[tuple[int, int, int]]]:
+    """tests: whether a span must pass its kind's test of form."""
     found: list[dict] = [{} for _ in texts]
     runs = sorted(tag_scores(texts, p), key=lambda x: len(x[2]))
     at = 0
@@ -466,7 +471,7 @@ def added_spans(texts: list[str], base: list[list], p: dict) -> list[list[tuple[
         for (s, e, k), margin in f.items():
             got = text[s:e]
             s, e = whole_runs(text, s + len(got) - len(got.lstrip()), e - len(got) + len(got.rstrip()), k)
-            if taken[s] == taken[e] and plausible(k, text[s:e]):
+            if taken[s] == taken[e] and (not tests or plausible(k, text[s:e])):
                 good.append((s, e, k, margin))
         out.append([(s, e, k) for s, e, k, _ in best_set(good)])
     return out
@@ -503,6 +508,26 @@ def find(docs: DataFrame, model: dict | None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(batches, f"doc_id long, base {span}, spans {span}")
 
 
+def judged(docs: DataFrame, model: dict, tests: bool = True) -> DataFrame:
+    """kind, n_base, n_model, n_equal, n_met: the model by itself, the patterns withheld from its spans, against the base spans of
+    docs: how many there are, how many it finds, how many of these are a base span of the kind, and how many base spans meet one of
+    its spans of the kind. tests: with its tests of form, or all that the network marks."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(KINDS), 4), np.int64)
+        for b in portions(it, 0):
+            texts = frame(b.column(0))
+            for base, own in zip(map(base_spans, texts), added_spans(texts, [[] for _ in texts], sent.value, tests), strict=True):
+                for k in range(len(KINDS)):
+                    x, y = [v for v in base if v[2] == k], [v for v in own if v[2] == k]
+                    sums[k] += len(x), len(y), len(set(x) & set(y)), sum(any(s < e2 and s2 < e for s2, e2, _ in y) for s, e, _ in x)
+        yield pa.RecordBatch.from_arrays([pa.array(KINDS), *(pa.array(c) for c in sums.T)], names=["kind", "n_base", "n_model", "n_equal", "n_met"])
+
+    each = docs.select("text").mapInArrow(batches, "kind string, n_base long, n_model long, n_equal long, n_met long")
+    return each.groupBy("kind").agg(*[F.sum(c).alias(c) for c in ("n_base", "n_model", "n_equal", "n_met")])
+
+
 def redact(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
     """docs with every span replaced by its kind in angle brackets; null stays null."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
