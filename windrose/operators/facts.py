@@ -107,3 +107,43 @@ def design_profiles(boats: DataFrame, results: DataFrame, certificates: DataFram
     per_foot: Column = F.when(F.col("avg_loa") > 0, F.col("mean") / (F.col("avg_loa") * FEET))
     out = stats.join(activity, "design", "left").join(gph, "design", "left")
     return out.withColumn("spread", F.col("most") - F.col("least")).withColumn("rating_per_foot", per_foot).withColumn("potential", potential)
+
+
+def stated(column: str | Column) -> Column:
+    """A text that says something; blank is null."""
+    c = F.col(column) if isinstance(column, str) else column
+    return F.nullif(c, F.lit(""))
+
+
+def skipper_stints(results: DataFrame, boat: str = "boat") -> DataFrame:
+    """boat, skipper, races, first_date, last_date, wins, podiums, is_current. results: boat, skipper, day, place. Current is the
+    skipper of the last race; then the one of more races, then by name. A stint without a dated race is current only if there is no other."""
+    rows = results.withColumn("skipper", stated("skipper")).filter("skipper IS NOT NULL")
+    per = rows.groupBy(boat, "skipper").agg(F.count("*").alias("races"), F.min("day").alias("first_date"), F.max("day").alias("last_date"), F.count_if(F.col("place") == 1).alias("wins"), F.count_if(F.col("place").between(1, 3)).alias("podiums"))
+    order = F.struct(F.col("last_date").isNull(), -F.unix_date("last_date"), -F.col("races"), F.col("skipper"))
+    now = per.groupBy(F.col(boat).alias("_b")).agg(F.min_by("skipper", order).alias("_now"))
+    return per.join(now, F.col(boat).eqNullSafe(F.col("_b"))).withColumn("is_current", F.col("skipper") == F.col("_now")).drop("_b", "_now")
+
+
+def home_clubs(results: DataFrame, boat: str = "boat", latest: int = 15) -> DataFrame:
+    """boat, club, n: the club named most often in a boat's last dated results, ties to the smaller name. results: boat, id, day,
+    club_name, organizing_club, boat_club; the first of these that says something is a result's club. Results without one take up their
+    place among the last."""
+    club = F.coalesce(stated("club_name"), stated("organizing_club"), stated("boat_club")).alias("club")
+    w = Window.partitionBy(boat).orderBy(F.desc("day"), F.desc("id"))
+    recent = results.filter("day IS NOT NULL").select(boat, "id", "day", club).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= latest)
+    per = recent.filter("club IS NOT NULL").groupBy(boat, "club").agg(F.count("*").alias("n"))
+    return per.groupBy(boat).agg(F.min_by("club", F.struct(-F.col("n"), F.col("club"))).alias("club"), F.max("n").alias("n"))
+
+
+def performance_facts(results: DataFrame, boat: str = "boat") -> DataFrame:
+    """boat, finishes (finished and placed), wins, podiums, distinct_events. results: boat, status, place, event."""
+    placed = (F.col("status") == "finished") & F.col("place").isNotNull()
+    return results.groupBy(boat).agg(F.count_if(placed).alias("finishes"), F.count_if(F.col("place") == 1).alias("wins"), F.count_if(F.col("place").between(1, 3)).alias("podiums"), F.countDistinct("event").alias("distinct_events"))
+
+
+def recent_results(results: DataFrame, boat: str = "boat", most: int = 20) -> DataFrame:
+    """The last placed results of every boat, numbered from 1: the latest day first, none last, then the larger id. Each task keeps
+    as many rows of a boat at most before the shuffle."""
+    w = Window.partitionBy(boat).orderBy(F.col("day").desc_nulls_last(), F.desc("id"))
+    return results.filter("place IS NOT NULL").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
