@@ -49,19 +49,19 @@ def class_statistics(spark, d):
 RESULT = "CASE WHEN o_orderkey % 3 > 0 THEN o_custkey % 40 END AS boat_id, 'N' || (o_orderkey % 3) AS boat_name, o_orderpriority AS event_name, CASE WHEN o_orderkey % 4 > 0 THEN o_orderstatus END AS race_name, CASE WHEN o_orderkey % 5 > 0 THEN year(CAST(o_orderdate AS DATE)) END AS event_date"
 
 
-@query(f"""WITH x AS (SELECT o_orderkey AS batch, {RESULT}, o_orderkey AS place, CASE WHEN o_orderkey % 2 = 0 THEN 'new' END AS transport, o_orderkey % 100 AS created_at FROM orders),
-o AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY boat_id, CASE WHEN boat_id IS NULL THEN boat_name END, event_name, race_name, event_date ORDER BY batch) = 1 AND batch % 2 = 1),
-n AS (SELECT * FROM x WHERE batch % 7 > 2 OR batch % 2 = 0), a AS (SELECT *, 0 AS new FROM o UNION ALL SELECT *, 1 FROM n), w AS (SELECT *, min(CASE WHEN new = 0 THEN created_at END) OVER p AS was, row_number() OVER (PARTITION BY boat_id, CASE WHEN boat_id IS NULL THEN boat_name END, event_name, race_name, event_date ORDER BY new DESC, batch DESC) AS r FROM a WINDOW p AS (PARTITION BY boat_id, CASE WHEN boat_id IS NULL THEN boat_name END, event_name, race_name, event_date))
+@query(f"""WITH x AS (SELECT o_orderkey AS batch, {RESULT}, o_orderkey AS place, CASE WHEN o_orderkey % 4 < 2 THEN 'new' END AS transport, o_orderkey % 100 AS created_at FROM orders),
+o AS (SELECT * FROM (SELECT * FROM x WHERE batch % 2 = 1) QUALIFY row_number() OVER (PARTITION BY boat_id, CASE WHEN boat_id IS NULL THEN boat_name END, event_name, race_name, event_date ORDER BY batch) = 1),
+n AS (SELECT * FROM x WHERE batch % 2 = 0), a AS (SELECT *, 0 AS new FROM o UNION ALL SELECT *, 1 FROM n), w AS (SELECT *, min(CASE WHEN new = 0 THEN created_at END) OVER p AS was, row_number() OVER (PARTITION BY boat_id, CASE WHEN boat_id IS NULL THEN boat_name END, event_name, race_name, event_date ORDER BY new DESC, batch DESC) AS r FROM a WINDOW p AS (PARTITION BY boat_id, CASE WHEN boat_id IS NULL THEN boat_name END, event_name, race_name, event_date))
 SELECT boat_id, boat_name, event_name, race_name, event_date, place, CASE WHEN new = 1 THEN coalesce(transport, 'legacy') ELSE transport END AS transport, coalesce(was, created_at) AS created_at FROM w WHERE r = 1""")
 def upsert_results(spark, d):
     k = F.col("o_orderkey")
     x = t(spark, d, "orders").select(
         k.alias("batch"), F.when(k % 3 > 0, F.col("o_custkey") % 40).alias("boat_id"), F.concat(F.lit("N"), S(k % 3)).alias("boat_name"), F.col("o_orderpriority").alias("event_name"), F.when(k % 4 > 0, F.col("o_orderstatus")).alias("race_name"),
-        F.when(k % 5 > 0, F.year("o_orderdate").cast("long")).alias("event_date"), k.alias("place"), F.when(k % 2 == 0, "new").alias("transport"), (k % 100).alias("created_at"),
+        F.when(k % 5 > 0, F.year("o_orderdate").cast("long")).alias("event_date"), k.alias("place"), F.when(k % 4 < 2, "new").alias("transport"), (k % 100).alias("created_at"),
     )
     key = [F.col("boat_id"), F.when(F.col("boat_id").isNull(), F.col("boat_name")), F.col("event_name"), F.col("race_name"), F.col("event_date")]
-    old = backfill.pick_per_key(x, key, [F.col("batch")]).filter("batch % 2 = 1").drop("batch")
-    return backfill.upsert_results(old, x.filter("batch % 7 > 2 OR batch % 2 = 0"))
+    old = backfill.pick_per_key(x.filter("batch % 2 = 1"), key, [F.col("batch")]).drop("batch")  # one half is there, the other comes
+    return backfill.upsert_results(old, x.filter("batch % 2 = 0"))
 
 
 @query("""SELECT 'country' AS kind, CAST(n AS VARCHAR) AS name, orphans AS n FROM (SELECT c_nationkey AS n, count(*) AS orphans FROM customer WHERE c_custkey % 3 = 0 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20)

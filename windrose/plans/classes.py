@@ -65,7 +65,8 @@ def swept(spark, d):
     p = t(spark, d, "part").select("p_partkey", "p_name", "p_size")
     boats = p.select("p_partkey", F.when(k() % 4 == 0, F.upper("p_name")).when(k() % 4 == 1, F.col("p_name")).when(k() % 4 == 2, F.concat(F.lit("the "), "p_name")).alias("design"))
     aliases = p.select(F.concat(F.lit("The "), "p_name").alias("alias"), F.col("p_name").alias("name"))
-    table = p.groupBy("p_name").agg(F.min("p_partkey").alias("k")).filter("k % 2 = 0").select("p_name").union(p.groupBy("p_name").agg(F.min("p_partkey").alias("k")).filter("k % 3 = 0").select(F.initcap("p_name")))
+    first = p.groupBy("p_name").agg(F.min("p_partkey").alias("k"))
+    table = first.select(F.explode(F.array(F.when(F.col("k") % 2 == 0, F.col("p_name")), F.when(F.col("k") % 3 == 0, F.initcap("p_name")))).alias("p_name"))
     return classes.Sweep(classes.canonical_by(aliases, boats, "design"), table, "p_partkey", "design", F.col("canonical"), "p_name")
 
 

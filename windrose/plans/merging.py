@@ -10,21 +10,20 @@ from .base import query, t
 S = lambda c: F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
 
 # 9 loses to 8 and 8 to 7; 11 and 12 lose to each other, which is refused; 6 loses to one that isn't there
-PAIRS = """b AS (SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey % 20 <> 5),
-m0 AS (SELECT id AS loser, CASE id % 20 WHEN 12 THEN id - 1 WHEN 11 THEN id + 1 ELSE id - 1 END AS winner FROM b WHERE id % 20 IN (6, 8, 9, 11, 12, 14)),
-m AS (SELECT loser, CASE WHEN loser % 20 = 9 THEN loser - 2 ELSE winner END AS winner FROM m0 WHERE loser % 20 NOT IN (6, 11, 12) AND winner IN (SELECT id FROM b)),
+PAIRS = """b AS (SELECT c_custkey AS id, c_name AS name FROM customer),
+m AS (SELECT id AS loser, CASE id % 20 WHEN 9 THEN id - 2 ELSE id - 1 END AS winner FROM b WHERE id % 20 IN (8, 9, 14)),
 u AS (SELECT loser AS boat, winner AS target, loser FROM m UNION SELECT winner, winner, NULL FROM m)"""
 CERTIFICATES = """c AS (SELECT min(o_orderkey) AS id, o_custkey AS boat, CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey % 7 END AS cert_number, max(CASE WHEN o_orderkey % 13 > 0 THEN CAST(o_orderdate AS DATE) END) AS issue_date FROM orders GROUP BY 2, 3)"""
 SNAPSHOTS = """s AS (SELECT min(o_orderkey) AS id, o_custkey AS boat, month(CAST(o_orderdate AS DATE)) AS snapshot_date, max(CASE WHEN o_orderkey % 5 > 0 THEN year(CAST(o_orderdate AS DATE)) END) AS cert_year FROM orders GROUP BY 2, 3)"""
 
 
 def boats(spark, d):
-    return t(spark, d, "customer").filter("c_custkey % 20 <> 5").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
 
 
 def pairs(spark, d):
     k = F.col("id")
-    return boats(spark, d).filter((k % 20).isin(6, 8, 9, 11, 12, 14)).select(k.alias("loser"), F.when(k % 20 == 11, k + 1).otherwise(k - 1).alias("winner"))
+    return boats(spark, d).filter((k % 20).isin(6, 8, 9, 11, 12, 14)).select(k.alias("loser"), F.when(k % 20 == 11, k + 1).when(k % 20 == 6, -k).otherwise(k - 1).alias("winner"))
 
 
 def merged(spark, d, only):
