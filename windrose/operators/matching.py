@@ -21,9 +21,14 @@ SIMILAR_WITH_RATING, SIMILAR_ALONE = 0.7, 0.85
 KEY = "result_id"
 
 
+def only_boats(candidates: DataFrame, *by: str) -> DataFrame:
+    """by and boat_id, where all rows of by name the same boat."""
+    return candidates.groupBy(*by).agg(F.min("boat_id").alias("boat_id"), F.max("boat_id").alias("_last")).filter("boat_id = _last").drop("_last")
+
+
 def one_of(candidates: DataFrame, *by: str) -> DataFrame:
     """The result's (and by's) boat where candidates name just one."""
-    return candidates.groupBy(KEY, *by).agg(F.min("boat_id").alias("boat_id"), F.max("boat_id").alias("_last")).filter("boat_id = _last").drop("_last")
+    return only_boats(candidates, KEY, *by)
 
 
 def counted(candidates: DataFrame) -> DataFrame:
@@ -48,6 +53,14 @@ def rated(candidates: DataFrame, results: DataFrame, ratings: DataFrame, near: f
     return c.join(ratings.select("boat_id", "rating", "day"), "boat_id").withColumn("off", off).filter(F.col("off") < near)
 
 
+def near_ratings(asked: DataFrame, had: DataFrame, by: Sequence[str], near: float) -> DataFrame:
+    """Rows of asked (by, _rating) and had (by, rating) that are near each other, with off; joined on bands twice as wide."""
+    band = lambda c: F.rint(F.col(c) / (2 * near))
+    x = asked.withColumn("_band", F.explode(F.array(*[band("_rating") + i for i in (-1.0, 0.0, 1.0)])))
+    off = F.abs(F.col("rating") - F.col("_rating"))
+    return x.join(had.withColumn("_band", band("rating")), [*by, "_band"]).withColumn("off", off).filter(F.col("off") < near).drop("_band")
+
+
 def sail_rules(results: DataFrame, boats: DataFrame, ratings: DataFrame | None, names: Sequence[str]) -> list[tuple[str, DataFrame]]:
     """One boat by shared tokens; of several the one of the same name; then, where ratings are given, one of a near rating."""
     r = results.filter(longer_than("sail", 2))
@@ -146,13 +159,18 @@ def match_any(results: DataFrame, boats: DataFrame, ratings: DataFrame, certific
 
 def match_owner(results: DataFrame, owners: DataFrame, ratings: DataFrame) -> DataFrame:
     """Results that carry an owner. owners: owner, boat_id. An owner of one boat; of several the one of a near rating;
-    then the only boat that ever had the very rating."""
+    then the only boat that ever had the very rating. Owners and ratings are reduced to their first and last boat before
+    results meet them, so a result never meets the boats of its owner one by one."""
     key = lambda c: F.upper(F.trim(c))
-    r = results.select(KEY, key("owner").alias("_o")).filter("_o <> ''")
-    owned = counted(r.join(owners.filter("boat_id IS NOT NULL").select("boat_id", key("owner").alias("_o")), "_o"))
-    near = rated(owned.filter("n > 1").select(KEY, "boat_id"), results, ratings, OWNER_NEAR)
-    exact = results.select(KEY, "rating").filter("rating IS NOT NULL").join(ratings.select("boat_id", "rating"), "rating")
-    return cascade(results, [("owner", owned.filter("n = 1")), ("owner_rating", one_of(near)), ("rating", one_of(exact))])
+    r = results.select(KEY, key("owner").alias("_o"), "rating")
+    owned = owners.filter("boat_id IS NOT NULL").select("boat_id", key("owner").alias("_o")).filter("_o <> ''")
+    fleets = only_boats(owned, "_o")
+    had = owned.join(ratings.select("boat_id", "rating"), "boat_id").groupBy("_o", "rating").agg(F.min("boat_id").alias("_first"), F.max("boat_id").alias("_last"))
+    asked = r.filter("rating IS NOT NULL").select("_o", F.col("rating").alias("_rating")).distinct()
+    pairs = near_ratings(asked, had, ["_o"], OWNER_NEAR).groupBy("_o", "_rating").agg(F.min("_first").alias("boat_id"), F.max("_last").alias("_last"))
+    near = pairs.filter("boat_id = _last").select("_o", F.col("_rating").alias("rating"), "boat_id")
+    exact = only_boats(ratings, "rating")
+    return cascade(results, [("owner", r.join(fleets, "_o")), ("owner_rating", r.join(near, ["_o", "rating"])), ("rating", r.join(exact, "rating"))])
 
 
 def apply_matches(results: DataFrame, matches: DataFrame, taken: Sequence[str]) -> DataFrame:
