@@ -1,6 +1,6 @@
 """Queries whose cost must not grow faster than their tables: what their joins pass on and what is sent to all, counted in the final plan."""
 
-from windrose.operators import matching
+from windrose.operators import matching, resolve
 
 
 def nodes(df):
@@ -37,3 +37,21 @@ def test_owner_of_many_boats_never_meets_them_one_by_one(spark):
     found = {x.result_id: (x.boat_id, x.method) for x in matching.match_owner(near, o, g).collect()}
     assert found == {1: (7, "owner_rating"), 2: (n + 1, "rating"), 3: (None, None)}
     assert most_rows(m) <= 10 * n  # 45,000 pairs before
+
+
+def tables(spark, path):
+    """40 queries of three texts, 2,000 boats of two names, read from files."""
+    spark.createDataFrame([(i, ("small ring", "AUS17", "AUZ1500")[i % 3]) for i in range(40)], "query_id long, q string").coalesce(1).write.parquet(f"{path}/q")
+    spark.createDataFrame([(b, "small ring" if b % 100 == 0 else "old plate", f"AUS{b}") for b in range(2000)], "boat_id long, boat_name string, boat_sail string").coalesce(1).write.parquet(f"{path}/b")
+    return spark.read.parquet(f"{path}/q"), spark.read.parquet(f"{path}/b")
+
+
+def test_search_sends_no_table_of_boats_to_all(spark, tmp_path):
+    q, b = tables(spark, tmp_path)
+    hits = resolve.search_batch(q, b)
+    found = {}
+    for x in hits.collect():
+        found.setdefault(x.query_id % 3, []).append((x.query_id, x.boat_id))
+    assert sorted(found[0]) == [(i, b) for i in range(0, 40, 3) for b in range(0, 2000, 100)]
+    assert {17, 170, 179} <= {b for _, b in found[1]} and len(found[1]) == len(set(found[1])) and 2 not in found
+    assert most_rows(hits, "BroadcastExchange") < 1500  # the trigrams' counts; 2,000 boats before

@@ -56,22 +56,36 @@ def certificate_match(certs: DataFrame, boats: DataFrame) -> DataFrame:
     return x.withColumn("boat_id", boat).withColumn("method", method.otherwise("unmatched")).select(*certs.columns, "boat_id", "method")
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, a: str, b: str, least: float) -> DataFrame:
-    """All pairs with a trigram similarity of at least `least`, blocked on the trigrams that any such pair must share:
-    of a set of n, ordered by rarity, the first n - ceil(least * n) + 1. Equal strings are compared once."""
+def similar_texts(left: DataFrame, right: DataFrame, a: str, b: str, least: float) -> DataFrame:
+    """a, b, similarity of the distinct pairs of texts with a trigram similarity of at least `least`, blocked on the trigrams
+    that any such pair must share: of a set of n, ordered by rarity, the first n - ceil(least * n) + 1. A pair is tried if what
+    its sets can still share from a common trigram on is enough."""
     tag = lambda df, c: df.select(F.col(c).alias("_v")).filter("_v IS NOT NULL").distinct().withColumn("_g", trigrams("_v")).filter(F.size("_g") > 0)
     x, y = tag(left, a), tag(right, b)
     freq = x.select(F.explode("_g").alias("g")).union(y.select(F.explode("_g").alias("g"))).groupBy("g").agg(F.count("*").alias("f"))
+    # three code points of 21 bits: a number for each trigram, no two alike
+    freq = freq.withColumn("i", sum(F.shiftleft(F.ascii(F.substring("g", k + 1, 1)).cast("long"), 42 - 21 * k) for k in range(3)))
+
+    def prefixes(df: DataFrame, side: str) -> DataFrame:
+        each = df.select("_v", F.explode("_g").alias("g")).join(freq, "g").groupBy("_v").agg(F.array_sort(F.collect_list(F.struct("f", "i"))).alias("_s"))
+        n = F.size("_s")
+        first = F.slice("_s", F.lit(1), (n - F.ceil(F.lit(least) * n) + 1).cast("int"))
+        out = each.select("_v", n.alias("n"), F.transform("_s", lambda s: s["i"]).alias("gs"), F.posexplode(first).alias("r", "_p"))
+        return out.select(F.col("_p.i").alias("g"), *[F.col(c).alias(f"{side}{c}") for c in ("_v", "n", "gs", "r")])
 
-    def prefixes(df: DataFrame, name: str) -> DataFrame:
-        each = df.select("_v", F.size("_g").alias("n"), F.explode("_g").alias("g")).join(freq, "g")
-        r = F.row_number().over(Window.partitionBy("_v").orderBy("f", "g"))
-        return each.withColumn("r", r).filter(F.col("r") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select(F.col("_v").alias(name), "g")
+    both = F.col("xn") + F.col("yn")
+    enough = F.least(F.col("xn") - F.col("xr"), F.col("yn") - F.col("yr")) >= F.lit(least / (1 + least)) * both - 1e-6
+    same = F.size(F.array_intersect("xgs", "ygs"))
+    pairs = prefixes(x, "x").join(prefixes(y, "y"), "g").filter(enough & (same / (both - same) >= least))
+    return pairs.select(F.col("x_v").alias(a), F.col("y_v").alias(b), (same / (both - same)).alias("similarity")).distinct()
 
-    pairs = prefixes(x, "_l").join(prefixes(y, "_r"), "g").select("_l", "_r").distinct()
-    close = pairs.withColumn("similarity", trigram_similarity("_l", "_r")).filter(F.col("similarity") >= least)
-    both = left.withColumn("_l", F.col(a)).join(close, "_l").drop("_l")
-    return both.join(right.withColumn("_r", F.col(b)), "_r").drop("_r")
+
+def similar_pairs(left: DataFrame, right: DataFrame, a: str, b: str, least: float) -> DataFrame:
+    """All pairs of rows with a trigram similarity of at least `least`; equal strings are compared once. Neither table is sent
+    whole through the driver: the size of a file says little about its rows."""
+    close = similar_texts(left, right, a, b, least).withColumnsRenamed({a: "_l", b: "_r"})
+    both = left.withColumn("_l", F.col(a)).join(close.hint("merge"), "_l").drop("_l")
+    return both.join(right.withColumn("_r", F.col(b)).hint("merge"), "_r").drop("_r")
 
 
 def fuzzy_search(boats: DataFrame, query: str, limit: int = 20) -> DataFrame:
@@ -81,15 +95,33 @@ def fuzzy_search(boats: DataFrame, query: str, limit: int = 20) -> DataFrame:
     return s.filter("s_name > 0.3 OR s_sail > 0.5").withColumn("score", F.greatest("s_name", "s_sail")).orderBy(F.desc("score"), "boat_id").limit(limit)
 
 
+# Fixed value: among so many tasks at least the boats of one text are spread, however many queries ask for it.
+SPREAD = 64
+
+
+def open_boats(boats: DataFrame) -> DataFrame:
+    """Without secondary certificates."""
+    return boats.filter(~F.coalesce(F.endswith("boat_name", F.lit(" - SEC")), F.lit(False))).select("boat_id", "boat_name", "boat_sail")
+
+
+def search_texts(texts: DataFrame, boats: DataFrame) -> DataFrame:
+    """q, boat_id, score of every boat that a text (q) finds; a boat found by its name isn't looked for by its sail."""
+    b = open_boats(boats)
+    named = similar_texts(texts, b, "q", "boat_name", 0.3).filter("similarity > 0.3").join(b.hint("merge"), "boat_name")
+    named = named.select("q", "boat_id", F.greatest("similarity", trigram_similarity("boat_sail", "q")).alias("score"))
+    sailed = similar_texts(texts, b, "q", "boat_sail", 0.5).filter("similarity > 0.5").join(b.hint("merge"), "boat_sail").withColumn("_n", trigram_similarity("boat_name", "q"))
+    return named.union(sailed.filter("_n <= 0.3").select("q", "boat_id", F.greatest("similarity", "_n").alias("score")))
+
+
 def search_batch(queries: DataFrame, boats: DataFrame) -> DataFrame:
     """query_id, boat_id, score of every boat that a query (query_id, q) finds: as fuzzy_search for all queries at once, secondary
-    certificates apart. Pairs come from trigrams that they must share, not from all boats for each query."""
-    b = boats.filter(~F.coalesce(F.endswith("boat_name", F.lit(" - SEC")), F.lit(False))).select("boat_id", "boat_name", "boat_sail")
-    q = queries.select("query_id", "q")
-    found = similar_pairs(q, b.select("boat_id", "boat_name"), "q", "boat_name", 0.3).filter("similarity > 0.3").select("query_id", "q", "boat_id")
-    found = found.union(similar_pairs(q, b.select("boat_id", "boat_sail"), "q", "boat_sail", 0.5).filter("similarity > 0.5").select("query_id", "q", "boat_id")).distinct()
-    score = F.greatest(trigram_similarity("boat_name", "q"), trigram_similarity("boat_sail", "q"))
-    return found.join(b, "boat_id").select("query_id", "boat_id", score.alias("score"))
+    certificates apart. Pairs come from trigrams that they must share, not from all boats for each query; equal queries are
+    searched once. Their rows come last, in tasks that each hold a share of a text's boats."""
+    n = max(SPREAD, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    hits = search_texts(queries.select("q").filter("q IS NOT NULL").distinct(), boats)
+    hits = hits.withColumn("_s", F.pmod(F.xxhash64("boat_id"), F.lit(SPREAD)).cast("int"))
+    asked = queries.select("query_id", "q", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_s"))
+    return hits.repartition(n, "q", "_s").join(asked.repartition(n, "q", "_s").hint("merge"), ["q", "_s"]).select("query_id", "boat_id", "score")
 
 
 def deletions(text: Column, most: int = 2) -> Column:
@@ -104,10 +136,14 @@ def deletions(text: Column, most: int = 2) -> Column:
 
 
 def near_texts(left: DataFrame, right: DataFrame, a: str, b: str, most: int = 2) -> DataFrame:
-    """a, b, distance of the distinct pairs within `most` edits, joined on what deletions leave of both."""
-    x = left.select(a).filter(F.col(a).isNotNull()).distinct().withColumn("_v", F.explode(deletions(F.col(a), most)))
-    y = right.select(b).filter(F.col(b).isNotNull()).distinct().withColumn("_v", F.explode(deletions(F.col(b), most)))
-    return x.join(y, "_v").select(a, b).distinct().withColumn("distance", F.levenshtein(a, b)).filter(F.col("distance") <= most)
+    """a, b, distance of the distinct pairs within `most` edits, joined on what deletions leave of both; texts of a length that
+    is near none of the other side's leave nothing. What is left is many times the texts, so it isn't broadcast."""
+    x = left.select(a).filter(F.col(a).isNotNull()).distinct()
+    y = right.select(b).filter(F.col(b).isNotNull()).distinct().withColumn("_n", F.length(b))
+    sizes = x.select(F.explode(F.sequence(F.length(a) - most, F.length(a) + most)).alias("_n")).distinct()
+    rest = lambda df, c: df.select(c, F.explode(deletions(F.col(c), most)).alias("_v"))
+    pairs = rest(x, a).join(rest(y.join(sizes, "_n", "left_semi"), b).hint("merge"), "_v").select(a, b).distinct()
+    return pairs.withColumn("distance", F.levenshtein(a, b)).filter(F.col("distance") <= most)
 
 
 # Sails count from 3 to 10 letters of the query, within 2 of its length and 2 edits; names above 0.18; a
@@ -118,19 +154,22 @@ SHORTEST, LONGEST, EDITS, ALIKE, FAR = 3, 10, 2, 0.18, 999
 def suggest_batch(queries: DataFrame, boats: DataFrame, limit: int = 5) -> DataFrame:
     """query_id, rank, boat_id, sail_dist, name_sim: for every query (query_id, q) of two letters and more that finds
     nothing, the boats with a sail within two edits or a name that is alike, nearest sail first, then the most alike name, then
-    by name and boat_id. Both branches are joins over all queries; ranks are cut off before the shuffle."""
+    by name and boat_id. Both branches are joins over all different texts; ranks are cut off before the shuffle."""
     checkpoint_dir(queries.sparkSession)
-    b = boats.filter(~F.coalesce(F.endswith("boat_name", F.lit(" - SEC")), F.lit(False))).select("boat_id", "boat_name", "boat_sail", F.upper("boat_sail").alias("_s"))
+    b = open_boats(boats).withColumn("_s", F.upper("boat_sail"))
     asked = queries.select("query_id", "q").filter(F.length(F.trim("q")) >= 2)
-    lost = asked.join(search_batch(asked, boats).select("query_id"), "query_id", "left_anti").checkpoint()
+    texts = asked.select("q").distinct()
+    lost = texts.join(search_texts(texts, boats).select("q"), "q", "left_anti").checkpoint()
     short = lost.filter(F.length("q").between(SHORTEST, LONGEST)).withColumn("_q", F.upper("q"))
-    by_sail = short.join(near_texts(short, b.filter(F.length("_s") <= LONGEST + EDITS), "_q", "_s", EDITS), "_q").join(b.select("boat_id", "_s"), "_s").select("query_id", "q", "boat_id")
-    by_name = similar_pairs(lost, b.select("boat_id", "boat_name"), "q", "boat_name", ALIKE).filter(F.col("similarity") > ALIKE).select("query_id", "q", "boat_id")
-    found = by_sail.union(by_name).distinct().join(b, "boat_id")
+    near = short.join(near_texts(short, b.filter(F.length("_s") <= LONGEST + EDITS), "_q", "_s", EDITS), "_q").select("q", "_s")
+    by_sail = near.join(b.hint("merge"), "_s").select("q", "boat_id", "boat_name", "boat_sail", "_s")
+    alike = similar_texts(lost, b, "q", "boat_name", ALIKE).filter(F.col("similarity") > ALIKE)
+    found = by_sail.union(alike.join(b.hint("merge"), "boat_name").select("q", "boat_id", "boat_name", "boat_sail", "_s")).distinct()
     gate = F.abs(F.length("boat_sail") - F.length("q")) <= EDITS
     found = found.withColumn("sail_dist", F.coalesce(F.when(gate, F.levenshtein("_s", F.upper("q"))), F.lit(FAR))).withColumn("name_sim", trigram_similarity("boat_name", "q"))
-    w = Window.partitionBy("query_id").orderBy("sail_dist", F.desc("name_sim"), "boat_name", "boat_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("query_id", "rank", "boat_id", "sail_dist", "name_sim")
+    w = Window.partitionBy("q").orderBy("sail_dist", F.desc("name_sim"), "boat_name", "boat_id")
+    first = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    return first.join(asked, "q").select("query_id", "rank", "boat_id", "sail_dist", "name_sim")
 
 
 def suggestions(boats: DataFrame, query: str, limit: int = 5) -> DataFrame:
