@@ -55,3 +55,13 @@ def test_search_sends_no_table_of_boats_to_all(spark, tmp_path):
     assert sorted(found[0]) == [(i, b) for i in range(0, 40, 3) for b in range(0, 2000, 100)]
     assert {17, 170, 179} <= {b for _, b in found[1]} and len(found[1]) == len(set(found[1])) and 2 not in found
     assert most_rows(hits, "BroadcastExchange") < 1500  # the trigrams' counts; 2,000 boats before
+
+
+def test_suggestions_send_no_table_of_boats_to_all(spark, tmp_path):
+    q, b = tables(spark, tmp_path)
+    near = resolve.suggest_batch(q, b)
+    got = {}
+    for x in near.collect():
+        got.setdefault(x.query_id, []).append((x.rank, x.boat_id, x.sail_dist))
+    assert set(got) == set(range(2, 40, 3)) and all(sorted(x)[0] == (1, 1500, 1) and [y[2] for y in sorted(x)] == [1, 2, 2, 2, 2] for x in got.values())
+    assert most_rows(near, "BroadcastExchange") < 500  # more than 2,000 before
