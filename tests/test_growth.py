@@ -65,3 +65,10 @@ def test_suggestions_send_no_table_of_boats_to_all(spark, tmp_path):
         got.setdefault(x.query_id, []).append((x.rank, x.boat_id, x.sail_dist))
     assert set(got) == set(range(2, 40, 3)) and all(sorted(x)[0] == (1, 1500, 1) and [y[2] for y in sorted(x)] == [1, 2, 2, 2, 2] for x in got.values())
     assert most_rows(near, "BroadcastExchange") < 500  # more than 2,000 before
+
+
+def test_one_query_sends_no_table_of_boats_to_all(spark, tmp_path):
+    _, b = tables(spark, tmp_path)
+    one = resolve.suggestions(b, "AUZ1500")
+    assert [x.sail_dist for x in one.collect()] == [1, 2, 2, 2, 2]
+    assert most_rows(one, "BroadcastExchange") < 500
