@@ -1,6 +1,7 @@
 """Queries whose cost must not grow faster than their tables: what their joins pass on and what is sent to all, counted in the final plan."""
 
 from windrose.operators import matching, resolve
+from windrose.plans import racing
 
 
 def nodes(df):
@@ -72,3 +73,10 @@ def test_one_query_sends_no_table_of_boats_to_all(spark, tmp_path):
     one = resolve.suggestions(b, "AUZ1500")
     assert [x.sail_dist for x in one.collect()] == [1, 2, 2, 2, 2]
     assert most_rows(one, "BroadcastExchange") < 500
+
+
+def test_races_of_a_boat_are_counted_without_keeping_them_apart(spark):
+    df = racing.supplier_performance_summary(spark, "/root/testdata/sf0.001")
+    assert all(x.races == x.n for x in df.collect())
+    plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "distinct" not in plan
