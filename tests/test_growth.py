@@ -1,6 +1,6 @@
 """Queries whose cost must not grow faster than their tables: what their joins pass on and what is sent to all, counted in the final plan."""
 
-from windrose.operators import matching, resolve
+from windrose.operators import analytics, matching, resolve
 from windrose.plans import racing
 
 
@@ -80,3 +80,14 @@ def test_races_of_a_boat_are_counted_without_keeping_them_apart(spark):
     assert all(x.races == x.n for x in df.collect())
     plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "distinct" not in plan
+
+
+def test_rivals_are_counted_once_a_pair(spark):
+    n = 40
+    r = spark.createDataFrame([(k, b, 1 + (b * 7 + k) % n) for k in range(3) for b in range(n)], "race long, boat long, place long")
+    h = analytics.head_to_head(r, "boat", ["race"], "place", 3)
+    place = {(x.race, x.boat): x.place for x in r.collect()}
+    want = {(a, b, sum(place[k, a] < place[k, b] for k in range(3)), sum(place[k, a] > place[k, b] for k in range(3)), 3) for a in range(n) for b in range(n) if a != b}
+    got = [(x.boat, x.rival, x.wins, x.losses, x.meetings) for x in h.collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert most_rows(h, "Join") <= 3 * n * (n - 1) // 2  # twice as many before

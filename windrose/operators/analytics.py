@@ -47,16 +47,18 @@ def rating_advantage(results: DataFrame, boat: str, race: Sequence[str], place:
 
 def head_to_head(results: DataFrame, boat: str, race: Sequence[str], place: str, least: int = 1) -> DataFrame:
     """Wins, losses and meetings of every pair that met in at least `least` races. The pairs are the result; within a
-    race they come from an equi-join on the race."""
+    race they come from an equi-join on the race. A pair is counted once, and turned round when it has met often enough."""
     key = F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in race])
     side = lambda x: results.select(key.alias("k"), F.col(boat).alias(x), F.col(place).alias(f"p_{x}"))
-    met = side("boat").join(side("rival"), "k").filter("boat <> rival")
+    met = side("boat").join(side("rival"), "k").filter("boat < rival")
     out = met.groupBy("boat", "rival").agg(
         F.sum(F.when(F.col("p_boat") < F.col("p_rival"), 1).otherwise(0)).alias("wins"),
         F.sum(F.when(F.col("p_boat") > F.col("p_rival"), 1).otherwise(0)).alias("losses"),
         F.count("*").alias("meetings"),
     )
-    return out.filter(F.col("meetings") >= least)
+    often = out.filter(F.col("meetings") >= least)
+    both = F.array(F.struct("boat", "rival", "wins", "losses"), F.struct(F.col("rival").alias("boat"), F.col("boat").alias("rival"), F.col("losses").alias("wins"), F.col("wins").alias("losses")))
+    return often.select(F.explode(both).alias("p"), "meetings").select("p.*", "meetings")
 
 
 def top_share(df: DataFrame, group: Sequence[str], order: Sequence, share: float = 0.1) -> DataFrame:
