@@ -118,11 +118,17 @@ def certificate_rules(results: DataFrame, certificates: DataFrame, names: Sequen
 
 
 def design_rule(results: DataFrame, boats: DataFrame, ratings: DataFrame) -> DataFrame:
-    """A boat of the design with the nearest rating, the last of equally near ones."""
-    r = results.filter(longer_than("design", 2)).select(KEY, F.trim("design").alias("p"))
+    """A boat of the design with the nearest rating, the last of equally near ones. Boats are reduced to the first of a design
+    and rating, results to their different ones, before they meet."""
+    r = results.filter(longer_than("design", 2)).select(KEY, F.trim("design").alias("p"), "rating").filter("rating IS NOT NULL")
     b = boats.filter("boat_design IS NOT NULL").select("boat_id", F.col("boat_design").alias("t"))
-    found = r.join(contains_pairs(r, b), "p").join(b, "t").select(KEY, "boat_id")
-    return first_of(rated(found, results, ratings, DESIGN_NEAR), F.col("off"), -F.unix_date(F.col("day").cast("date")))
+    best = lambda *order: F.min(F.struct(*order, "day", "boat_id")).alias("_b")
+    day = (-F.unix_date(F.col("day").cast("date"))).alias("day")
+    had = b.join(ratings.select("boat_id", "rating", day), "boat_id").groupBy("t", "rating").agg(best())
+    had = contains_pairs(r, b).join(had, "t").select("p", "rating", "_b.*").groupBy("p", "rating").agg(best()).select("p", "rating", "_b.*")
+    asked = r.select("p", F.col("rating").alias("_rating")).distinct()
+    near = near_ratings(asked, had, ["p"], DESIGN_NEAR).groupBy("p", "_rating").agg(best("off"))
+    return r.join(near.select("p", F.col("_rating").alias("rating"), "_b.boat_id"), ["p", "rating"]).select(KEY, "boat_id")
 
 
 def identity_rules(results: DataFrame, identities: DataFrame, names: Sequence[str], all_forms: bool) -> list[tuple[str, DataFrame]]:
