@@ -75,6 +75,16 @@ def test_one_query_sends_no_table_of_boats_to_all(spark, tmp_path):
     assert most_rows(one, "BroadcastExchange") < 500
 
 
+def test_suggestions_send_no_table_of_queries_to_all(spark, tmp_path):
+    """1,024 texts that find nothing, each asked twice, and 20 boats whose name is alike to all of them."""
+    words = ["".join("qk"[i >> j & 1] for j in range(10)) for i in range(1024)]
+    spark.createDataFrame([(i, f"{words[i % 1024]} old") for i in range(2048)], "query_id long, q string").write.parquet(f"{tmp_path}/q")
+    spark.createDataFrame([(b, "old plate", "S") for b in range(20)], "boat_id long, boat_name string, boat_sail string").write.parquet(f"{tmp_path}/b")
+    near = resolve.suggest_batch(spark.read.parquet(f"{tmp_path}/q"), spark.read.parquet(f"{tmp_path}/b"))
+    assert sorted((x.query_id, x.rank, x.boat_id, x.sail_dist) for x in near.collect()) == [(i, r + 1, r, 999) for i in range(2048) for r in range(5)]
+    assert most_rows(near, "BroadcastExchange") < 500  # 2,048 and more before
+
+
 def test_races_of_a_boat_are_counted_without_keeping_them_apart(spark):
     df = racing.supplier_performance_summary(spark, "/root/testdata/sf0.001")
     assert all(x.races == x.n for x in df.collect())

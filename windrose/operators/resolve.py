@@ -56,10 +56,19 @@ def certificate_match(certs: DataFrame, boats: DataFrame) -> DataFrame:
     return x.withColumn("boat_id", boat).withColumn("method", method.otherwise("unmatched")).select(*certs.columns, "boat_id", "method")
 
 
+# Fixed value: joins that work long on few bytes are dealt over at least so many tasks; what is sent to all is told by size only.
+SPREAD = 64
+
+
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """df by hash over at least SPREAD tasks, which aren't put together again because their bytes are few."""
+    return df.repartition(max(SPREAD, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *by)
+
+
 def similar_texts(left: DataFrame, right: DataFrame, a: str, b: str, least: float) -> DataFrame:
     """a, b, similarity of the distinct pairs of texts with a trigram similarity of at least `least`, blocked on the trigrams
     that any such pair must share: of a set of n, ordered by rarity, the first n - ceil(least * n) + 1. A pair is tried if what
-    its sets can still share from a common trigram on is enough."""
+    its sets can still share from a common trigram on is enough. Only the counts of the trigrams are sent to all."""
     tag = lambda df, c: df.select(F.col(c).alias("_v")).filter("_v IS NOT NULL").distinct().withColumn("_g", trigrams("_v")).filter(F.size("_g") > 0)
     x, y = tag(left, a), tag(right, b)
     freq = x.select(F.explode("_g").alias("g")).union(y.select(F.explode("_g").alias("g"))).groupBy("g").agg(F.count("*").alias("f"))
@@ -67,7 +76,7 @@ def similar_texts(left: DataFrame, right: DataFrame, a: str, b: str, least: floa
     freq = freq.withColumn("i", sum(F.shiftleft(F.ascii(F.substring("g", k + 1, 1)).cast("long"), 42 - 21 * k) for k in range(3)))
 
     def prefixes(df: DataFrame, side: str) -> DataFrame:
-        each = df.select("_v", F.explode("_g").alias("g")).join(freq, "g").groupBy("_v").agg(F.array_sort(F.collect_list(F.struct("f", "i"))).alias("_s"))
+        each = df.select("_v", F.explode("_g").alias("g")).join(F.broadcast(freq), "g").groupBy("_v").agg(F.array_sort(F.collect_list(F.struct("f", "i"))).alias("_s"))
         n = F.size("_s")
         first = F.slice("_s", F.lit(1), (n - F.ceil(F.lit(least) * n) + 1).cast("int"))
         out = each.select("_v", n.alias("n"), F.transform("_s", lambda s: s["i"]).alias("gs"), F.posexplode(first).alias("r", "_p"))
@@ -76,7 +85,7 @@ def similar_texts(left: DataFrame, right: DataFrame, a: str, b: str, least: floa
     both = F.col("xn") + F.col("yn")
     enough = F.least(F.col("xn") - F.col("xr"), F.col("yn") - F.col("yr")) >= F.lit(least / (1 + least)) * both - 1e-6
     same = F.size(F.array_intersect("xgs", "ygs"))
-    pairs = prefixes(x, "x").join(prefixes(y, "y"), "g").filter(enough & (same / (both - same) >= least))
+    pairs = dealt(prefixes(x, "x"), "g").join(dealt(prefixes(y, "y"), "g").hint("merge"), "g").filter(enough & (same / (both - same) >= least))
     return pairs.select(F.col("x_v").alias(a), F.col("y_v").alias(b), (same / (both - same)).alias("similarity")).distinct()
 
 
@@ -95,10 +104,6 @@ def fuzzy_search(boats: DataFrame, query: str, limit: int = 20) -> DataFrame:
     return s.filter("s_name > 0.3 OR s_sail > 0.5").withColumn("score", F.greatest("s_name", "s_sail")).orderBy(F.desc("score"), "boat_id").limit(limit)
 
 
-# Fixed value: among so many tasks at least the boats of one text are spread, however many queries ask for it.
-SPREAD = 64
-
-
 def open_boats(boats: DataFrame) -> DataFrame:
     """Without secondary certificates."""
     return boats.filter(~F.coalesce(F.endswith("boat_name", F.lit(" - SEC")), F.lit(False))).select("boat_id", "boat_name", "boat_sail")
@@ -117,11 +122,10 @@ def search_batch(queries: DataFrame, boats: DataFrame) -> DataFrame:
     """query_id, boat_id, score of every boat that a query (query_id, q) finds: as fuzzy_search for all queries at once, secondary
     certificates apart. Pairs come from trigrams that they must share, not from all boats for each query; equal queries are
     searched once. Their rows come last, in tasks that each hold a share of a text's boats."""
-    n = max(SPREAD, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     hits = search_texts(queries.select("q").filter("q IS NOT NULL").distinct(), boats)
     hits = hits.withColumn("_s", F.pmod(F.xxhash64("boat_id"), F.lit(SPREAD)).cast("int"))
     asked = queries.select("query_id", "q", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_s"))
-    return hits.repartition(n, "q", "_s").join(asked.repartition(n, "q", "_s").hint("merge"), ["q", "_s"]).select("query_id", "boat_id", "score")
+    return dealt(hits, "q", "_s").join(dealt(asked, "q", "_s").hint("merge"), ["q", "_s"]).select("query_id", "boat_id", "score")
 
 
 def deletions(text: Column, most: int = 2) -> Column:
@@ -142,7 +146,7 @@ def near_texts(left: DataFrame, right: DataFrame, a: str, b: str, most: int = 2)
     y = right.select(b).filter(F.col(b).isNotNull()).distinct().withColumn("_n", F.length(b))
     sizes = x.select(F.explode(F.sequence(F.length(a) - most, F.length(a) + most)).alias("_n")).distinct()
     rest = lambda df, c: df.select(c, F.explode(deletions(F.col(c), most)).alias("_v"))
-    pairs = rest(x, a).join(rest(y.join(sizes, "_n", "left_semi"), b).hint("merge"), "_v").select(a, b).distinct()
+    pairs = dealt(rest(x, a), "_v").join(dealt(rest(dealt(y.join(sizes, "_n", "left_semi"), b), b), "_v").hint("merge"), "_v").select(a, b).distinct()
     return pairs.withColumn("distance", F.levenshtein(a, b)).filter(F.col("distance") <= most)
 
 
@@ -154,14 +158,16 @@ SHORTEST, LONGEST, EDITS, ALIKE, FAR = 3, 10, 2, 0.18, 999
 def suggest_batch(queries: DataFrame, boats: DataFrame, limit: int = 5) -> DataFrame:
     """query_id, rank, boat_id, sail_dist, name_sim: for every query (query_id, q) of two letters and more that finds
     nothing, the boats with a sail within two edits or a name that is alike, nearest sail first, then the most alike name, then
-    by name and boat_id. Both branches are joins over all different texts; ranks are cut off before the shuffle."""
+    by name and boat_id. Both branches are joins over all different texts; ranks are cut off before the shuffle. A text that finds
+    a name or a sail needs none of its boats to be out. No join sends a side that grows to all."""
     checkpoint_dir(queries.sparkSession)
     b = open_boats(boats).withColumn("_s", F.upper("boat_sail"))
     asked = queries.select("query_id", "q").filter(F.length(F.trim("q")) >= 2)
     texts = asked.select("q").distinct()
-    lost = texts.join(search_texts(texts, boats).select("q"), "q", "left_anti").checkpoint()
+    unnamed = texts.join(similar_texts(texts, b, "q", "boat_name", 0.3).filter("similarity > 0.3").hint("merge"), "q", "left_anti").checkpoint()
+    lost = unnamed.join(similar_texts(unnamed, b, "q", "boat_sail", 0.5).filter("similarity > 0.5").hint("merge"), "q", "left_anti").checkpoint()
     short = lost.filter(F.length("q").between(SHORTEST, LONGEST)).withColumn("_q", F.upper("q"))
-    near = short.join(near_texts(short, b.filter(F.length("_s") <= LONGEST + EDITS), "_q", "_s", EDITS), "_q").select("q", "_s")
+    near = short.join(near_texts(short, b.filter(F.length("_s") <= LONGEST + EDITS), "_q", "_s", EDITS).hint("merge"), "_q").select("q", "_s")
     by_sail = near.join(b.hint("merge"), "_s").select("q", "boat_id", "boat_name", "boat_sail", "_s")
     alike = similar_texts(lost, b, "q", "boat_name", ALIKE).filter(F.col("similarity") > ALIKE)
     found = by_sail.union(alike.join(b.hint("merge"), "boat_name").select("q", "boat_id", "boat_name", "boat_sail", "_s")).distinct()
@@ -169,7 +175,7 @@ def suggest_batch(queries: DataFrame, boats: DataFrame, limit: int = 5) -> DataF
     found = found.withColumn("sail_dist", F.coalesce(F.when(gate, F.levenshtein("_s", F.upper("q"))), F.lit(FAR))).withColumn("name_sim", trigram_similarity("boat_name", "q"))
     w = Window.partitionBy("q").orderBy("sail_dist", F.desc("name_sim"), "boat_name", "boat_id")
     first = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
-    return first.join(asked, "q").select("query_id", "rank", "boat_id", "sail_dist", "name_sim")
+    return first.join(asked.hint("merge"), "q").select("query_id", "rank", "boat_id", "sail_dist", "name_sim")
 
 
 def suggestions(boats: DataFrame, query: str, limit: int = 5) -> DataFrame:
