@@ -85,6 +85,15 @@ def test_suggestions_send_no_table_of_queries_to_all(spark, tmp_path):
     assert most_rows(near, "BroadcastExchange") < 500  # 2,048 and more before
 
 
+def test_one_query_is_compared_without_joins(spark, tmp_path):
+    _, b = tables(spark, tmp_path)
+    one = resolve.suggestions(b, "AUZ1500")
+    assert [x.boat_id for x in one.collect()][0] == 1500
+    assert most_rows(one, "BroadcastExchange") == 1  # whether anything is found; trigrams, texts and pairs before
+    assert not [name for name, _ in nodes(one) if name == "SortMergeJoin"]
+    assert resolve.suggestions(b, "A").count() == 0 and resolve.suggestions(b, "old plate").count() == 0
+
+
 def test_races_of_a_boat_are_counted_without_keeping_them_apart(spark):
     df = racing.supplier_performance_summary(spark, "/root/testdata/sf0.001")
     assert all(x.races == x.n for x in df.collect())

@@ -179,9 +179,18 @@ def suggest_batch(queries: DataFrame, boats: DataFrame, limit: int = 5) -> DataF
 
 
 def suggestions(boats: DataFrame, query: str, limit: int = 5) -> DataFrame:
-    """boat_id, sail_dist, name_sim suggested for one query that finds nothing, in order."""
-    q = boats.sparkSession.createDataFrame([(0, query)], "query_id long, q string")
-    return suggest_batch(q, boats, limit).orderBy("rank").drop("query_id", "rank")
+    """boat_id, sail_dist, name_sim suggested for one query that finds nothing, in order: as suggest_batch, but one query needs
+    no joins. Every boat is compared with it once, and only whether any is found is sent to all."""
+    q = F.lit(query).cast("string")
+    size = F.length(q)
+    b = dealt(open_boats(boats), "boat_id").withColumn("name_sim", trigram_similarity("boat_name", q))
+    asked = b.filter(F.length(F.trim(q)) >= 2)
+    finds = asked.agg(F.max((F.col("name_sim") > 0.3) | (trigram_similarity("boat_sail", q) > 0.5)).alias("_finds"))
+    gate = F.abs(F.length("boat_sail") - size) <= EDITS
+    near = asked.withColumn("sail_dist", F.coalesce(F.when(gate, F.levenshtein(F.upper("boat_sail"), F.upper(q))), F.lit(FAR)))
+    near = near.filter((size.between(SHORTEST, LONGEST) & (F.col("sail_dist") <= EDITS)) | (F.col("name_sim") > ALIKE))
+    out = near.crossJoin(F.broadcast(finds)).filter(~F.col("_finds"))
+    return out.orderBy("sail_dist", F.desc("name_sim"), "boat_name", "boat_id").limit(limit).select("boat_id", "sail_dist", "name_sim")
 
 
 def duplicate_clusters(df: DataFrame, key: Sequence[Column], id_col: str) -> DataFrame:
