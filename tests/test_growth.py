@@ -1,7 +1,7 @@
 """Queries whose cost must not grow faster than their tables: what their joins pass on and what is sent to all, counted in the final plan."""
 
 from windrose.operators import analytics, matching, resolve
-from windrose.plans import racing
+from windrose.plans import racing, read_side
 
 
 def nodes(df):
@@ -110,3 +110,11 @@ def test_rivals_are_counted_once_a_pair(spark):
     got = [(x.boat, x.rival, x.wins, x.losses, x.meetings) for x in h.collect()]
     assert set(got) == want and len(got) == len(want)
     assert most_rows(h, "Join") <= 3 * n * (n - 1) // 2  # twice as many before
+
+
+def test_rows_of_one_value_never_meet_one_by_one(spark, tmp_path):
+    n = 300
+    spark.createDataFrame([(k, "b", "x", 900.0 + (k % 2) / 10) for k in range(n)], "p_partkey long, p_brand string, p_name string, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    df = read_side.tolerance_join(spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == [(k, k + 1, n - 1 - k) for k in range(n - 1)]
+    assert most_rows(df, "Join") <= 10 * n  # 44,850 pairs before

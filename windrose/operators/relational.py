@@ -24,6 +24,22 @@ def checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="windrose-"))
 
 
+def later_within(df: DataFrame, key: str, same: Sequence[str], value: str, width: float) -> DataFrame:
+    """key, next, n of every row that agrees in `same` with rows of a larger key and a value less than `width` away: the least
+    such key and their number. Different values meet in bands, rows never do: keys are counted in their order."""
+    rows = df.select(*same, value, key).dropna()
+    values = rows.select(*same, value).distinct()
+    # a band more on both sides: a quotient may be rounded
+    near = values.withColumn("_b", F.explode(F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda i: F.floor(F.col(value) / width) + i)))
+    far = values.withColumnRenamed(value, "_y").withColumn("_b", F.floor(F.col("_y") / width))
+    pairs = near.join(far.hint("merge"), [*same, "_b"]).filter(F.abs(F.col(value) - F.col("_y")) < width).drop("_b")
+    asks = rows.join(pairs.hint("merge"), [*same, value]).select(*same, value, "_y", key, F.lit(0).alias("_t"))
+    told = rows.withColumnRenamed(value, "_y").join(pairs.hint("merge"), [*same, "_y"]).select(*same, value, "_y", key, F.lit(1).alias("_t"))
+    w = Window.partitionBy(*same, value, "_y").orderBy(F.desc(key), "_t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = asks.union(told).withColumn("n", F.sum("_t").over(w)).withColumn("next", F.min(F.when(F.col("_t") == 1, F.col(key))).over(w))
+    return both.filter("_t = 0 AND n > 0").groupBy(key).agg(F.min("next").alias("next"), F.sum("n").alias("n"))
+
+
 def pick_per_key(df: DataFrame, key: Cols, order: Cols) -> DataFrame:
     """The first row of each key by order; null keys are a key."""
     w = Window.partitionBy(*key).orderBy(*order)

@@ -223,12 +223,8 @@ def own_or_twin(spark, d):
 @query("""SELECT a.p_partkey AS a, min(b.p_partkey) AS b, count(*) AS n FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey AND a.p_name = b.p_name
  AND abs(a.p_retailprice - b.p_retailprice) < 0.3 GROUP BY 1""")
 def tolerance_join(spark, d):
-    p = t(spark, d, "part").select("p_partkey", "p_brand", "p_name", "p_retailprice")
-    # bands of the width of the tolerance: equal or neighbouring ones can match
-    x = p.withColumn("band", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.floor(F.col("p_retailprice") / 0.3) + i)))
-    y = p.toDF(*[f"y_{c}" for c in p.columns]).withColumn("band", F.floor(F.col("y_p_retailprice") / 0.3))
-    ok = (F.col("p_brand") == F.col("y_p_brand")) & (F.col("p_name") == F.col("y_p_name")) & (F.col("p_partkey") < F.col("y_p_partkey")) & (F.abs(F.col("p_retailprice") - F.col("y_p_retailprice")) < 0.3)
-    return x.join(y, "band").filter(ok).groupBy(F.col("p_partkey").alias("a")).agg(F.min("y_p_partkey").alias("b"), F.count("*").alias("n"))
+    p = rel.later_within(t(spark, d, "part"), "p_partkey", ["p_brand", "p_name"], "p_retailprice", 0.3)
+    return p.select(F.col("p_partkey").alias("a"), F.col("next").alias("b"), "n")
 
 
 @query("SELECT s_suppkey, any_value(c_custkey) AS c_custkey FROM supplier JOIN customer ON round(s_acctbal) = round(c_acctbal) GROUP BY 1 HAVING count(*) = 1")
