@@ -118,3 +118,17 @@ def test_rows_of_one_value_never_meet_one_by_one(spark, tmp_path):
     df = read_side.tolerance_join(spark, str(tmp_path))
     assert sorted(map(tuple, df.collect())) == [(k, k + 1, n - 1 - k) for k in range(n - 1)]
     assert most_rows(df, "Join") <= 10 * n  # 44,850 pairs before
+
+
+def linked(monkeypatch):
+    """What connected_components is given."""
+    seen, whole = [], resolve.connected_components
+    monkeypatch.setattr(resolve, "connected_components", lambda edges: seen.append(edges.count()) or whole(edges))
+    return seen
+
+
+def test_token_groups_link_tokens_not_rows(spark, monkeypatch):
+    seen = linked(monkeypatch)
+    r = spark.createDataFrame([(k, f"X{k % 3 + 10}&{k % 2 + 50}" if k < 120 else f"K{k}") for k in range(125)], "result_id long, sail string")
+    assert {x.result_id: x.group_id for x in resolve.token_groups(r).collect()} == {k: 0 if k < 120 else k for k in range(125)}
+    assert seen[0] <= 6  # 120 and more before

@@ -222,13 +222,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
 def token_groups(results: DataFrame, sail: str = "sail", key: str = "result_id") -> DataFrame:
     """Rows joined by shared tokens, over any number of steps, with a group number: unlike a one-pass grouping, a row
-    that bridges two groups merges them, whatever the order of the rows."""
+    that bridges two groups merges them, whatever the order of the rows. A row belongs to the first rows of its shared tokens;
+    only rows with several link these, so the rounds pass over different links, not over rows."""
     checkpoint_dir(results.sparkSession)
-    tokens = results.select(key, F.explode(sail_tokens(sail)).alias("token"))
-    hub = tokens.groupBy("token").agg(F.min(key).alias("a"))
-    edges = tokens.join(hub, "token").select("a", F.col(key).alias("b")).filter("a <> b")
-    comp = connected_components(edges)
-    return results.join(comp.withColumnRenamed("id", key), key, "left").withColumn("group_id", F.coalesce("component", key)).drop("component")
+    tokens = dealt(results.select(key, sail), key).select(key, F.explode(sail_tokens(sail)).alias("token"))
+    shared = tokens.groupBy("token").agg(F.min(key).alias("a"), F.count("*").alias("n")).filter("n > 1").select("token", "a")
+    hubs = tokens.join(shared.hint("merge"), "token").groupBy(key).agg(F.array_sort(F.collect_set("a")).alias("_h")).checkpoint()
+    comp = connected_components(hubs.select(F.get("_h", F.lit(0)).alias("a"), F.explode(F.slice("_h", F.lit(2), F.size("_h"))).alias("b")).distinct())
+    first = hubs.select(key, F.get("_h", F.lit(0)).alias("_first")).join(comp.withColumnRenamed("id", "_first"), "_first", "left")
+    first = first.select(key, F.coalesce("component", "_first").alias("group_id"))
+    return results.join(first.hint("merge"), key, "left").withColumn("group_id", F.coalesce("group_id", key))
 
 
 def merge_rows(df: DataFrame, losers: DataFrame, key: str, same: Sequence[str], keep: Sequence[Column]) -> DataFrame:
