@@ -1,6 +1,6 @@
 """Queries whose cost must not grow faster than their tables: what their joins pass on and what is sent to all, counted in the final plan."""
 
-from windrose.operators import analytics, matching, resolve
+from windrose.operators import analytics, matching, resolve, upkeep
 from windrose.plans import racing, read_side
 
 
@@ -132,3 +132,12 @@ def test_token_groups_link_tokens_not_rows(spark, monkeypatch):
     r = spark.createDataFrame([(k, f"X{k % 3 + 10}&{k % 2 + 50}" if k < 120 else f"K{k}") for k in range(125)], "result_id long, sail string")
     assert {x.result_id: x.group_id for x in resolve.token_groups(r).collect()} == {k: 0 if k < 120 else k for k in range(125)}
     assert seen[0] <= 6  # 120 and more before
+
+
+def test_new_boats_link_tokens_not_rows(spark, monkeypatch):
+    seen = linked(monkeypatch)
+    r = spark.createDataFrame([(k, f"YAUS{k % 7 + 100}&{k % 9 + 5000}", f"boat {k:03d}", 1.0) for k in range(200)], "result_id long, sail string, name string, tcc double")
+    b = spark.createDataFrame([(k, f"AUS{k}", "other") for k in [*range(100, 107), *range(5000, 5009)]], "boat_id long, boat_sail string, boat_name string")
+    links, created = upkeep.new_boats(r, b)
+    assert [(x.group_id, x.boat_name, x.n_results) for x in created.collect()] == [(0, "boat 000", 200)] and not links.count()
+    assert seen[0] <= 63  # 200 and more before

@@ -40,8 +40,8 @@ def normalize_sail(s: str | Column) -> Column:
 
 
 def _after_prefix(s: Column, prefixes: tuple[str, ...]) -> Column:
-    """What follows the first listed prefix that stands before a digit."""
-    return first_hit([(s.rlike(f"^{p}[0-9]"), F.substring(s, len(p) + 1, 1 << 20)) for p in prefixes])
+    """What follows the listed prefix that stands before a digit: prefixes are letters, so there is one at most."""
+    return F.nullif(F.regexp_extract(s, rf"(?s)^(?:{'|'.join(prefixes)})([0-9].*)", 1), F.lit(""))
 
 
 def strip_country(s: Column) -> Column:
@@ -50,7 +50,10 @@ def strip_country(s: Column) -> Column:
 
 def sail_candidates(s: str | Column) -> Column:
     """The normalised form, then AUS + number, then the number where a class prefix stands before it."""
-    norm = normalize_sail(s)
+    return _candidates(normalize_sail(s))
+
+
+def _candidates(norm: Column) -> Column:
     bare = _after_prefix(norm, CLASS_PREFIXES)
     found = F.array_distinct(F.array_compact(F.array(norm, F.concat(F.lit("AUS"), bare), bare)))
     return F.when(norm == "", F.array().cast("array<string>")).otherwise(found)
@@ -59,7 +62,7 @@ def sail_candidates(s: str | Column) -> Column:
 def sail_tokens(s: str | Column) -> Column:
     """Sorted distinct tokens of a sail string; several numbers may be joined by & , ; or |."""
     chunks = F.filter(F.transform(F.split(F.coalesce(C(s), F.lit("")), "[&,;|]"), lambda c: F.trim(c)), lambda c: c != "")
-    each = F.transform(chunks, lambda c: F.concat(sail_candidates(c), F.array_compact(F.array(normalize_sail(c), strip_country(normalize_sail(c))))))
+    each = F.transform(F.transform(chunks, normalize_sail), lambda n: F.concat(_candidates(n), F.array_compact(F.array(n, strip_country(n)))))
     return F.array_sort(F.array_distinct(F.filter(F.flatten(each), lambda t: t != "")))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import country_from_sail, normalize_name, sail_tokens
 from .relational import winsorised_means
-from .resolve import token_groups
+from .resolve import dealt, token_groups
 
 YEARS_A, YEARS_B, LARGE_CLUSTER = 2, 5, 6  # spread of build years for tiers A and B; rows of a large cluster
 
@@ -17,7 +17,7 @@ YEARS_A, YEARS_B, LARGE_CLUSTER = 2, 5, 6  # spread of build years for tiers A a
 def new_boats(results: DataFrame, boats: DataFrame) -> tuple[DataFrame, DataFrame]:
     """results: result_id, sail, name, tcc of unmatched rows. Links to existing boats that share a token (of several the
     one of the same name), and one new boat for each remaining group of shared tokens: longest name, first rating."""
-    usable = results.filter((F.length(F.trim("sail")) >= 3) & (F.trim(F.coalesce("name", F.lit(""))) != ""))
+    usable = dealt(results, "result_id").filter((F.length(F.trim("sail")) >= 3) & (F.trim(F.coalesce("name", F.lit(""))) != ""))
     known = boats.select("boat_id", "boat_name", F.explode(sail_tokens("boat_sail")).alias("token"))
     hits = usable.select("result_id", "name", F.explode(sail_tokens("sail")).alias("token")).join(known, "token").select("result_id", "name", "boat_id", "boat_name").distinct()
     n = F.count("*").over(Window.partitionBy("result_id"))
