@@ -2,6 +2,7 @@
 
 from windrose.operators import analytics, matching, resolve, upkeep
 from windrose.plans import racing, read_side
+from windrose.sources import club
 
 
 def nodes(df):
@@ -141,3 +142,11 @@ def test_new_boats_link_tokens_not_rows(spark, monkeypatch):
     links, created = upkeep.new_boats(r, b)
     assert [(x.group_id, x.boat_name, x.n_results) for x in created.collect()] == [(0, "boat 000", 200)] and not links.count()
     assert seen[0] <= 63  # 200 and more before
+
+
+def test_sheets_of_lines_are_not_sent_to_all(spark, tmp_path):
+    rows = [(s, 0, i, x) for s in range(50) for i, x in enumerate(("Place Sail Name", f"1 A HKG{s + 10} Boat", f"2 A HKG{s + 99} Boat", "none"))]
+    spark.createDataFrame(rows, "sheet long, page long, line long, text string").write.parquet(f"{tmp_path}/l")
+    df = club.club_lines(spark.read.parquet(f"{tmp_path}/l"), "sheet")
+    assert sorted((x.sheet, x.line, x.place, x.fleet_size) for x in df.collect()) == [(s, i, i, 2) for s in range(50) for i in (1, 2)]
+    assert most_rows(df, "BroadcastExchange") == 0  # 50 before

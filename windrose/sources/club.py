@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stripped
+from ..operators.resolve import dealt
 
 # Patterns of the fields, and the codes of boats that didn't finish, in the order in which tables are
 # searched for them.
@@ -81,9 +82,11 @@ def club_lines(lines: DataFrame, key: str, line: str = "text") -> DataFrame:
     place = F.struct("page", "line")
     start = lines.filter(heading).groupBy(key).agg(F.min(place).alias("_start"))
     none = heading | stripped(line).rlike("^(" + "|".join(NO_RESULTS) + ")")
-    rows = lines.filter(~none).join(start, key).filter(place > F.col("_start")).drop("_start")
-    rows = rows.withColumns(line_fields(F.col(line))).filter("sail_no IS NOT NULL")
-    return rows.join(rows.groupBy(key).agg(F.count("*").cast("int").alias("fleet_size")), key)
+    # a line is read once, before it meets its sheet, in tasks that hold lines of any; a filter before the count would be
+    # pushed down to the scan and read it again
+    rows = dealt(lines.filter(~none), key, "page", "line").withColumns(line_fields(F.col(line)))
+    rows = rows.join(start.hint("merge"), key).filter(place > F.col("_start")).drop("_start")
+    return rows.withColumn("fleet_size", F.count("sail_no").over(Window.partitionBy(key)).cast("int")).filter("sail_no IS NOT NULL")
 
 
 def heading_kinds(cells: Column) -> Column:
