@@ -150,3 +150,11 @@ def test_sheets_of_lines_are_not_sent_to_all(spark, tmp_path):
     df = club.club_lines(spark.read.parquet(f"{tmp_path}/l"), "sheet")
     assert sorted((x.sheet, x.line, x.place, x.fleet_size) for x in df.collect()) == [(s, i, i, 2) for s in range(50) for i in (1, 2)]
     assert most_rows(df, "BroadcastExchange") == 0  # 50 before
+
+
+def test_sheets_of_tables_are_not_sent_to_all(spark, tmp_path):
+    rows = [(s, 0, i, x) for s in range(50) for i, x in enumerate((["Place", "Sail", "Boat"], ["1", f"G{s}", "Kite"], ["2", "G", " "]))]
+    spark.createDataFrame(rows, "key long, `table` int, row int, cells array<string>").write.parquet(f"{tmp_path}/c")
+    df = club.club_tables(spark.read.parquet(f"{tmp_path}/c"))
+    assert sorted((x.key, x.row, x.place, x.fleet_size) for x in df.collect()) == [(s, 1, 1, 1) for s in range(50)]
+    assert most_rows(df, "BroadcastExchange") == 0  # 50 before

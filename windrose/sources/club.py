@@ -106,11 +106,10 @@ def heading_kinds(cells: Column) -> Column:
 
 
 def table_fields(cells: Column, kinds: Column) -> dict[str, Column]:
-    """The fields of a row of a table by the kinds of its headings; of two headings of a kind the last counts.
+    """The fields of a row of a table, its cells stripped, by the kinds of its headings; of two headings of a kind the last counts.
 
     A missing division is what stands in unnamed columns between place and sail number, as a long one spreads over
     them. Elapsed and corrected times are null unless they begin with h:m:s; the place is made of the digits of its cell."""
-    cells = F.transform(cells, lambda x: stripped(F.coalesce(x, F.lit(""))))
     index = lambda field: F.size(kinds) - F.array_position(F.reverse(kinds), F.lit(field)).cast("int")  # noqa: E731  from 0; the size if absent
     has = lambda field: F.array_contains(kinds, field)
     cell = lambda field: F.when(has(field), F.nullif(F.get(cells, index(field)), F.lit("")))
@@ -139,13 +138,13 @@ def club_tables(cells: DataFrame) -> DataFrame:
     """Results of extracted tables (key, table, row, cells): rows below a heading with place and sail or name, read by the last
     heading above them; a table without one, or of one row, has none, and rows without a boat's name are none. fleet_size: the
     results of the sheet."""
-    text = F.lower(F.array_join(F.transform("cells", lambda x: stripped(F.coalesce(x, F.lit("")))), " "))
-    rows = cells.withColumn("_heading", text.contains("place") & (text.contains("sail") | text.contains("name")))
+    rows = dealt(cells, "key", "table", "row").withColumn("_cells", F.explode(F.array(F.transform("cells", lambda x: stripped(F.coalesce(x, F.lit("")))))))
+    text = F.lower(F.array_join("_cells", " "))
+    rows = rows.withColumn("_heading", text.contains("place") & (text.contains("sail") | text.contains("name")))
     # the headings of a table: one, or one a page that it runs over
     heads = rows.filter("_heading").groupBy("key", "table").agg(F.array_sort(F.collect_list(F.struct("row", heading_kinds(F.col("cells")).alias("kinds")))).alias("_heads"))
-    body = rows.filter("NOT _heading").join(heads, ["key", "table"])
+    body = rows.filter("NOT _heading").join(heads.hint("merge"), ["key", "table"])
     last = F.element_at(F.filter("_heads", lambda h: h["row"] < F.col("row")), -1)
     body = body.filter(F.get(F.col("_heads"), F.lit(0))["row"] < F.col("row")).withColumn("_kinds", last["kinds"])
-    found = body.withColumns(table_fields(F.col("cells"), F.col("_kinds"))).filter("boat_name IS NOT NULL")
-    fleet = found.groupBy("key").agg(F.count("*").cast("int").alias("fleet_size"))
-    return found.join(fleet, "key").drop("_heads", "_kinds", "_heading", "cells")
+    found = body.withColumns(table_fields(F.col("_cells"), F.col("_kinds"))).drop("_heads", "_kinds", "_heading", "cells", "_cells")
+    return found.withColumn("fleet_size", F.count("boat_name").over(Window.partitionBy("key")).cast("int")).filter("boat_name IS NOT NULL")
