@@ -1,7 +1,7 @@
 """Queries whose cost must not grow faster than their tables: what their joins pass on and what is sent to all, counted in the final plan."""
 
 from windrose.operators import analytics, matching, resolve, upkeep
-from windrose.plans import racing, read_side
+from windrose.plans import operations, racing, read_side
 from windrose.sources import club
 
 
@@ -158,3 +158,8 @@ def test_sheets_of_tables_are_not_sent_to_all(spark, tmp_path):
     df = club.club_tables(spark.read.parquet(f"{tmp_path}/c"))
     assert sorted((x.key, x.row, x.place, x.fleet_size) for x in df.collect()) == [(s, 1, 1, 1) for s in range(50)]
     assert most_rows(df, "BroadcastExchange") == 0  # 50 before
+
+
+def test_texts_of_clusters_are_cleaned_once(spark):
+    df = operations.duplicate_clusters(spark, "/root/testdata/sf0.001")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1  # 2 before

@@ -214,7 +214,9 @@ def trigram_pairs(spark, d):
 @query("""SELECT md5(lower(regexp_replace(text, '[^a-zA-Z0-9]+', '', 'g'))) AS key, count(*) AS size, list(doc_id ORDER BY doc_id) AS ids FROM documents WHERE regexp_replace(text, '[^a-zA-Z0-9]+', '', 'g') <> '' GROUP BY 1 HAVING count(*) > 1""")
 def duplicate_clusters(spark, d):
     norm = F.lower(F.regexp_replace("text", "[^a-zA-Z0-9]+", ""))
-    c = resolve.duplicate_clusters(t(spark, d, "documents"), [F.when(norm != "", F.md5(norm))], "doc_id")
+    # behind the explode the text is cleaned once, not once a use
+    docs = t(spark, d, "documents").select("doc_id", F.explode(F.array(norm)).alias("norm"))
+    c = resolve.duplicate_clusters(docs, [F.when(F.col("norm") != "", F.md5("norm"))], "doc_id")
     return c.withColumnRenamed("k0", "key")
 
 
