@@ -163,3 +163,28 @@ def test_sheets_of_tables_are_not_sent_to_all(spark, tmp_path):
 def test_texts_of_clusters_are_cleaned_once(spark):
     df = operations.duplicate_clusters(spark, "/root/testdata/sf0.001")
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1  # 2 before
+
+
+def test_results_of_a_design_never_meet_its_boats_one_by_one(spark):
+    n = 200
+    r = spark.createDataFrame([(i, " sun 1", [None, 0.9, 1.1][i % 3]) for i in range(n)] + [(n, "sun 2", 0.9)], "result_id long, design string, rating double")
+    b = spark.createDataFrame([(k, "Big SUN 1") for k in range(n)] + [(n, "other"), (n + 1, "Sun 1 Mk")], "boat_id long, boat_design string")
+    g = [(k, {3: 0.902, 5: 0.901, 6: 0.901}.get(k, 1.1), f"2024-01-0{1 + k % 7}") for k in range(n)] + [(n, 0.9, "2024-01-01"), (n + 1, 1.101, "2024-01-09")]
+    m = matching.design_rule(r, b, spark.createDataFrame(g, "boat_id long, rating double, day string"))
+    # of 5 and 6, equally near, 6 was rated last; of the many at 1.1 the first boat of the last day, no matter what is a little off
+    assert {x.result_id: x.boat_id for x in m.collect()} == {i: [None, 6, 13][i % 3] for i in range(n) if i % 3}
+    assert most_rows(m) <= 10 * n  # 40,200 before
+
+
+def test_results_of_a_name_never_meet_its_boats_one_by_one(spark):
+    n = 200
+    r = spark.createDataFrame([(i, ("Blue Moon", "Blue Moons", "sun")[i % 3], [None, 0.9][i % 2]) for i in range(n)], "result_id long, name string, rating double")
+    b = spark.createDataFrame([(k, "BLUE  MOON") for k in range(n)] + [(n, "Sun"), (n + 1, "Blue Moons 2")], "boat_id long, boat_name string")
+    g = [(k, {5: 0.902, 6: 0.903, 7: 0.896, 3: 0.908}.get(k, 1.1), f"2024-01-0{1 + k % 7}") for k in range(n)] + [(n + 1, 0.9, "2024-01-01")]
+    one, last, alike = (df for _, df in matching.name_rules(r, b, spark.createDataFrame(g, "boat_id long, rating double, day string"), ("a", "b", "c")))
+    assert {x.result_id: x.boat_id for x in one.collect()} == {i: n for i in range(2, n, 3)}
+    # of those near 0.9 boat 6 was rated last; the first of equally similar names, whatever its day
+    assert {x.result_id: x.boat_id for x in last.collect()} == {i: 6 for i in range(0, n, 3) if i % 2}
+    got = {x.result_id: x.boat_id for x in alike.collect()}
+    assert got == {i: 0 if i % 3 == 0 and not i % 2 else 3 if i % 3 == 0 else n + 1 for i in range(n) if i % 3 == 0 or (i % 3 == 1 and i % 2)}
+    assert max(most_rows(df) for df in (one, last, alike)) <= 10 * n  # 13,466 before

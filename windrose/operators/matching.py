@@ -73,19 +73,28 @@ def sail_rules(results: DataFrame, boats: DataFrame, ratings: DataFrame | None,
 
 
 def name_rules(results: DataFrame, boats: DataFrame, ratings: DataFrame, names: Sequence[str]) -> list[tuple[str, DataFrame]]:
-    """One boat of the same name; of several the last one of a near rating; then names that are similar."""
+    """One boat of the same name; of several the last one of a near rating; then names that are similar. Boats are reduced to the
+    first of a name and rating, results to their different ones, before they meet, so results and boats never meet one by one."""
     k = lambda df, c: df.withColumn("_k", normalize_name(c)).filter("_k <> ''")
-    same = counted(k(results, "name").select(KEY, "_k").join(k(boats, "boat_name").select("boat_id", "_k"), "_k"))
-    near = rated(same.filter("n > 1").select(KEY, "boat_id"), results, ratings, NEAR)
-    long = results.filter(F.length("name") >= 4)
-    pairs = similar_pairs(k(long, "name").select("_k").distinct().withColumnRenamed("_k", "x"), k(boats, "boat_name").select("_k").distinct().withColumnRenamed("_k", "y"), "x", "y", SIMILAR_WITH_RATING)
-    alike = k(long, "name").select(KEY, F.col("_k").alias("x"), "rating").join(pairs.filter(F.col("similarity") > SIMILAR_WITH_RATING), "x")
-    alike = alike.join(k(boats, "boat_name").select("boat_id", F.col("_k").alias("y")), "y")
-    with_rating = rated(alike.filter("rating IS NOT NULL").select(KEY, "boat_id", "similarity"), results, ratings, FUZZY_NEAR)
-    alone = alike.filter(F.col("rating").isNull() & (F.col("similarity") > SIMILAR_ALONE))
-    fuzzy = with_rating.select(KEY, "boat_id", "similarity").unionByName(alone.select(KEY, "boat_id", "similarity"))
-    days = -F.unix_date(F.col("day").cast("date"))
-    return [(names[0], same.filter("n = 1")), (names[1], first_of(near, days)), (names[2], first_of(fuzzy, -F.col("similarity")))]
+    r = k(results, "name").select(KEY, "_k", "rating", F.length("name").alias("_long"))
+    fleet = k(boats, "boat_name").select("boat_id", "_k").distinct()
+    sizes = fleet.groupBy("_k").agg(F.count("*").alias("n"), F.min("boat_id").alias("boat_id"))
+    late = (-F.unix_date(F.col("day").cast("date"))).alias("late")
+    had = fleet.join(ratings.select("boat_id", "rating", late), "boat_id").groupBy("_k", "rating").agg(F.min(F.struct("late", "boat_id")).alias("_b"), F.min("boat_id").alias("_first"))
+    asked = r.filter("rating IS NOT NULL").select("_k", F.col("rating").alias("_rating")).distinct()
+    of_rating = lambda near: r.join(near.select("_k", F.col("_rating").alias("rating"), "_b.*"), ["_k", "rating"])
+    several = had.join(sizes.filter("n > 1").select("_k"), "_k").select("_k", "rating", "_b.*")
+    last = near_ratings(asked, several, ["_k"], NEAR).groupBy("_k", "_rating").agg(F.min(F.struct("late", "boat_id")).alias("_b"))
+    long = r.filter("_long >= 4")
+    pairs = similar_pairs(long.select(F.col("_k").alias("x")).distinct(), sizes.select(F.col("_k").alias("y")), "x", "y", SIMILAR_WITH_RATING)
+    pairs = pairs.filter(F.col("similarity") > SIMILAR_WITH_RATING).select(F.col("x"), F.col("y").alias("_k"), (-F.col("similarity")).alias("unlike"))
+    best = F.min(F.struct("unlike", "boat_id")).alias("_b")
+    alike = pairs.join(had.select("_k", "rating", F.col("_first").alias("boat_id")), "_k").groupBy(F.col("x").alias("_k"), "rating").agg(best)
+    alike = near_ratings(asked, alike.select("_k", "rating", "_b.*"), ["_k"], FUZZY_NEAR).groupBy("_k", "_rating").agg(best)
+    alone = pairs.filter(F.col("unlike") < -SIMILAR_ALONE).join(sizes, "_k").groupBy(F.col("x").alias("_k")).agg(best).select("_k", "_b.*")
+    unrated = long.filter("rating IS NULL").join(alone, "_k")
+    fuzzy = of_rating(alike).filter("_long >= 4").select(KEY, "boat_id", "unlike").unionByName(unrated.select(KEY, "boat_id", "unlike"))
+    return [(names[0], r.join(sizes.filter("n = 1"), "_k")), (names[1], first_of(of_rating(last), F.col("late"))), (names[2], first_of(fuzzy, F.col("unlike")))]
 
 
 def contains_pairs(patterns: DataFrame, texts: DataFrame, p: str = "p", t: str = "t") -> DataFrame:
@@ -118,11 +127,17 @@ def certificate_rules(results: DataFrame, certificates: DataFrame, names: Sequen
 
 
 def design_rule(results: DataFrame, boats: DataFrame, ratings: DataFrame) -> DataFrame:
-    """A boat of the design with the nearest rating, the last of equally near ones."""
-    r = results.filter(longer_than("design", 2)).select(KEY, F.trim("design").alias("p"))
+    """A boat of the design with the nearest rating, the last of equally near ones. Boats are reduced to the first of a design
+    and rating, results to their different ratings, before they meet, so a result never meets the boats of its design one by one."""
+    r = results.filter(longer_than("design", 2)).filter("rating IS NOT NULL").select(KEY, F.trim("design").alias("p"), "rating")
     b = boats.filter("boat_design IS NOT NULL").select("boat_id", F.col("boat_design").alias("t"))
-    found = r.join(contains_pairs(r, b), "p").join(b, "t").select(KEY, "boat_id")
-    return first_of(rated(found, results, ratings, DESIGN_NEAR), F.col("off"), -F.unix_date(F.col("day").cast("date")))
+    best = lambda *order: F.min(F.struct(*order, "late", "boat_id")).alias("_b")
+    late = (-F.unix_date(F.col("day").cast("date"))).alias("late")
+    had = b.join(ratings.select("boat_id", "rating", late), "boat_id").groupBy("t", "rating").agg(best()).select("t", "rating", "_b.*")
+    had = contains_pairs(r, b).join(had, "t").groupBy("p", "rating").agg(best()).select("p", "rating", "_b.*")
+    asked = r.select("p", F.col("rating").alias("_rating")).distinct()
+    near = near_ratings(asked, had, ["p"], DESIGN_NEAR).groupBy("p", "_rating").agg(best("off")).select("p", F.col("_rating").alias("rating"), "_b.*")
+    return first_of(r.join(near, ["p", "rating"]), F.col("off"), F.col("late"))
 
 
 def identity_rules(results: DataFrame, identities: DataFrame, names: Sequence[str], all_forms: bool) -> list[tuple[str, DataFrame]]:
