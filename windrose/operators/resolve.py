@@ -189,7 +189,8 @@ def suggestions(boats: DataFrame, query: str, limit: int = 5) -> DataFrame:
     gate = F.abs(F.length("boat_sail") - size) <= EDITS
     near = asked.withColumn("sail_dist", F.coalesce(F.when(gate, F.levenshtein(F.upper("boat_sail"), F.upper(q))), F.lit(FAR)))
     near = near.filter((size.between(SHORTEST, LONGEST) & (F.col("sail_dist") <= EDITS)) | (F.col("name_sim") > ALIKE))
-    out = near.crossJoin(F.broadcast(finds)).filter(~F.col("_finds"))
+    # where nothing is found no name is, so every row meets the one row that says so
+    out = near.withColumn("_finds", F.col("name_sim") > 0.3).join(F.broadcast(finds.filter("NOT _finds")), "_finds")
     return out.orderBy("sail_dist", F.desc("name_sim"), "boat_name", "boat_id").limit(limit).select("boat_id", "sail_dist", "name_sim")
 
 
