@@ -82,7 +82,6 @@ def name_rules(results: DataFrame, boats: DataFrame, ratings: DataFrame, names:
     late = (-F.unix_date(F.col("day").cast("date"))).alias("late")
     had = fleet.join(ratings.select("boat_id", "rating", late), "boat_id").groupBy("_k", "rating").agg(F.min(F.struct("late", "boat_id")).alias("_b"), F.min("boat_id").alias("_first"))
     asked = r.filter("rating IS NOT NULL").select("_k", F.col("rating").alias("_rating")).distinct()
-    of_rating = lambda near: r.join(near.select("_k", F.col("_rating").alias("rating"), "_b.*"), ["_k", "rating"])
     several = had.join(sizes.filter("n > 1").select("_k"), "_k").select("_k", "rating", "_b.*")
     last = near_ratings(asked, several, ["_k"], NEAR).groupBy("_k", "_rating").agg(F.min(F.struct("late", "boat_id")).alias("_b"))
     long = r.filter("_long >= 4")
@@ -91,10 +90,9 @@ def name_rules(results: DataFrame, boats: DataFrame, ratings: DataFrame, names:
     best = F.min(F.struct("unlike", "boat_id")).alias("_b")
     alike = pairs.join(had.select("_k", "rating", F.col("_first").alias("boat_id")), "_k").groupBy(F.col("x").alias("_k"), "rating").agg(best)
     alike = near_ratings(asked, alike.select("_k", "rating", "_b.*"), ["_k"], FUZZY_NEAR).groupBy("_k", "_rating").agg(best)
-    alone = pairs.filter(F.col("unlike") < -SIMILAR_ALONE).join(sizes, "_k").groupBy(F.col("x").alias("_k")).agg(best).select("_k", "_b.*")
-    unrated = long.filter("rating IS NULL").join(alone, "_k")
-    fuzzy = of_rating(alike).filter("_long >= 4").select(KEY, "boat_id", "unlike").unionByName(unrated.select(KEY, "boat_id", "unlike"))
-    return [(names[0], r.join(sizes.filter("n = 1"), "_k")), (names[1], first_of(of_rating(last), F.col("late"))), (names[2], first_of(fuzzy, F.col("unlike")))]
+    alone = pairs.filter(F.col("unlike") < -SIMILAR_ALONE).join(sizes, "_k").groupBy(F.col("x").alias("_k"), F.lit(None).cast("double").alias("_rating")).agg(best)
+    found = lambda df, near: df.join(near.select("_k", F.col("_rating"), "_b.boat_id"), "_k").filter(F.col("rating").eqNullSafe(F.col("_rating")))
+    return [(names[0], r.join(sizes.filter("n = 1"), "_k")), (names[1], found(r, last)), (names[2], found(long, alike.union(alone)))]
 
 
 def contains_pairs(patterns: DataFrame, texts: DataFrame, p: str = "p", t: str = "t") -> DataFrame:
@@ -137,7 +135,7 @@ def design_rule(results: DataFrame, boats: DataFrame, ratings: DataFrame) -> Dat
     had = contains_pairs(r, b).join(had, "t").groupBy("p", "rating").agg(best()).select("p", "rating", "_b.*")
     asked = r.select("p", F.col("rating").alias("_rating")).distinct()
     near = near_ratings(asked, had, ["p"], DESIGN_NEAR).groupBy("p", "_rating").agg(best("off")).select("p", F.col("_rating").alias("rating"), "_b.*")
-    return first_of(r.join(near, ["p", "rating"]), F.col("off"), F.col("late"))
+    return r.join(near, ["p", "rating"]).select(KEY, "boat_id")
 
 
 def identity_rules(results: DataFrame, identities: DataFrame, names: Sequence[str], all_forms: bool) -> list[tuple[str, DataFrame]]:
